@@ -68,3 +68,27 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def extend(df: DataFrame, column: str, fn, schema: str) -> DataFrame:
+    """All columns of df and those of schema, made from one column's values; a clashing name is replaced."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(schema)
+    kept = [f for f in df.schema if f.name not in added.names]
+    whole = StructType(kept + list(added))
+    names = [f.name for f in kept]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(whole)
+        for b in batches:
+            if b.num_rows:
+                got = fn(b.column(b.schema.get_field_index(column)).to_pylist())
+                arrays = [b.column(b.schema.get_field_index(n)).cast(out.field(n).type) for n in names]
+                arrays += [pa.array(got[n], out.field(n).type) for n in added.names]
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+
+    return df.mapInArrow(run, whole)

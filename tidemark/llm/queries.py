@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, with production parameters."""
 from __future__ import annotations
 
-from . import bpe, fingerprint
+from . import bpe, fingerprint, langid, pii, warc
 from .common import table
 
 
@@ -11,6 +11,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark, sf_dir):
     return fingerprint.near_report(table(spark, sf_dir, "documents"))
 
@@ -19,9 +23,29 @@ def op5_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op5_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_fingerprints, op5_bpe, op6_warc, op8_pii)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_warc": OP6}
+
+
+OP6 = """
+with p as (select page_id, coalesce(html, '') as html from pages where page_id is not null),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+g as (select payload_digest, max(page_id) as holder, count(*) as n from d where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when n > 1 and holder <> page_id then 'revisit' else 'response' end as record_type,
+  case when n > 1 and holder <> page_id then holder end as refers_to,
+  true as has_request, 1::int as n_metadata
+from d left join g using (payload_digest)
+"""
