@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, with production parameters."""
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html, langid, pii, warc
+from . import bpe, decontaminate, fingerprint, html, jaccard, langid, pii, warc
 from .common import table
 
 
@@ -35,12 +35,16 @@ def op8_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_fingerprints, op5_bpe, op6_warc, op7_html, op8_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_langid, op2_fingerprints, op5_bpe, op6_warc, op7_html, op8_pii, op9_jaccard, op10_decontaminate)}
 
 
 def oracle_sql() -> dict:
