@@ -1,11 +1,47 @@
-"""The corpus pipeline; its stages are added as their operators are built."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, personal data, tokens."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import bpe, common, decontaminate, jaccard, langid, pii
+from tidemark.llm.queries import tokenizer_path
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject."""
+    return langid.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids and n_tokens of every document."""
+    return bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
+]
+
+#: Language models, boosted trees and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

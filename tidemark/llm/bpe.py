@@ -244,20 +244,30 @@ class Decoder:
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: the operator's general output."""
+    """All columns of docs and ids array<int>: the operator's general output."""
     state = _shared(docs.sparkSession, tokenizer)
 
-    def fn(cols):
+    def fn(texts):
+        import numpy as np
+
         t = _worker(state)
-        out = {"doc_id": cols[0], "ids": [], "decoded": []}
-        for text in cols[1]:
-            ids = [int(i) for part in encode_parts(t, text) for i in part[0].split()]
-            d = Decoder(t.names, byte_level=False)
-            out["ids"].append(ids)
-            out["decoded"].append("".join(map(d.feed, ids)) + d.finish())
-        return out
+        return {"ids": [np.array(" ".join([p[0] for p in encode_parts(t, text or "")]).split(), np.int32) for text in texts]}
+
+    return common.extend(docs, "text", fn, "ids array<int>")
+
+
+def decode(encoded: DataFrame, tokenizer: str, byte_level: bool = False) -> DataFrame:
+    """doc_id and decoded string of rows with ids array<int>; a null array decodes to the empty text."""
+    state = _shared(encoded.sparkSession, tokenizer)
+
+    def fn(cols):
+        names, out = _worker(state).names, []
+        for ids in cols[1]:
+            d = Decoder(names, byte_level)
+            out.append("".join([d.feed(i) for i in ids or ()]) + d.finish())
+        return {"doc_id": cols[0], "decoded": out}
 
-    return common.map_rows(common.text_docs(docs), fn, "doc_id long, ids array<int>, decoded string")
+    return common.map_rows(encoded.select("doc_id", "ids"), fn, "doc_id long, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -252,3 +252,16 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     named = sets.join(joined, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_key"))
     least = named.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
     return named.join(least, "_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that name their component, all columns kept; of rows equal in doc_id and text one stays.
+
+    Rows without a doc_id name nothing and all stay.
+    """
+    found = join_components(docs.where("doc_id is not null"), words, percent).where("doc_id = component_id")
+    names = common.saved(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "names")
+    out = docs.join(names.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not names.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where("doc_id is null"))

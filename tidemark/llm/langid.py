@@ -285,3 +285,17 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is not rejected, all columns kept."""
+    models = learn(docs)
+    shared = docs.sparkSession.sparkContext.broadcast({"models": models})
+
+    def fn(texts):
+        held = shared.value
+        if "scorer" not in held:
+            held["scorer"] = Scorer(held["models"])
+        return {"_rejected": decide(held["models"], held["scorer"].texts(texts))["rejected"]}
+
+    return common.extend(docs, "text", fn, "_rejected boolean").where("not _rejected").drop("_rejected")

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, with production parameters."""
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, html, jaccard, langid, pii, suffixdup, warc
+from . import bpe, decontaminate, fingerprint, html, jaccard, langid, paragraphs, pii, suffixdup, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_fingerprints(spark, sf_dir):
     return fingerprint.near_report(table(spark, sf_dir, "documents"))
 
 
+def op3_paragraphs(spark, sf_dir):
+    return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffixdup(spark, sf_dir):
     return suffixdup.report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_decontaminate(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_fingerprints, op4_suffixdup, op5_bpe, op6_warc, op7_html, op8_pii, op9_jaccard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_langid, op2_fingerprints, op3_paragraphs, op4_suffixdup, op5_bpe, op6_warc, op7_html, op8_pii, op9_jaccard, op10_decontaminate)}
 
 
 def oracle_sql() -> dict:
