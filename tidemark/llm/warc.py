@@ -54,15 +54,16 @@ def marked(pages: DataFrame) -> DataFrame:
     bare = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     # the response of each payload that comes more than once, by partial aggregation
     shared = bare.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = bare.select("page_id", "digest").distinct().join(shared, "digest").select(F.col("page_id").alias("shared_page"), F.col("digest").alias("shared_digest"), "holder")
+    known = bare.select("page_id", "digest").distinct().join(shared, "digest")
+    known = known.groupBy(F.col("page_id").alias("shared_page")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "holder"))).alias("holders"))
     whole = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
-    # html is dealt once, by page_id, and the windows below keep that partitioning
-    both = whole.join(known, (F.col("page_id") == F.col("shared_page")) & (F.col("digest") == F.col("shared_digest")), "left").drop("shared_page")
+    # html is dealt once, by page_id: the join and the windows below share that partitioning
+    both = whole.join(known, F.col("page_id") == F.col("shared_page"), "left").withColumn("holder", F.col("holders")[F.col("digest")])
     # a response that others refer to is its page's occurrence 0
     by_page = Window.partitionBy("page_id").orderBy(F.coalesce(F.col("holder") == F.col("page_id"), F.lit(False)).desc(), "digest", "url")
     both = both.withColumn("nth", F.row_number().over(by_page) - 1).withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("nth")))
     revisits = F.col("holder").isNotNull() & ((F.col("holder") != F.col("page_id")) | (F.col("rank") > 1))
-    return both.withColumn("refers_page", F.when(revisits, F.col("holder"))).drop("rank", "shared_digest", "holder")
+    return both.withColumn("refers_page", F.when(revisits, F.col("holder"))).drop("rank", "shared_page", "holders", "holder")
 
 
 def record(kind: str, rid: Column, fields: list[tuple[str, Column]], block: Column, end: str = "\r\n\r\n") -> Column:
