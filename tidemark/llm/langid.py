@@ -262,7 +262,9 @@ def learn(docs: DataFrame) -> Models:
     tested = common.map_rows(picked.where("_dice < 1000000").select("text", "lang"), measure, "lang string, ce double, n double").toPandas()
     for k, lang in enumerate(models.langs):
         own = tested[tested["lang"] == lang]
-        if len(own) >= 20:
+        if len(own) < 20:  # too few to tell: all languages' together
+            own = tested
+        if len(own):
             models.mean[k] = (own["ce"] * own["n"]).sum() / own["n"].sum()
             models.limit[k] = max(LEAST_LIMIT, SLACK * ((own["ce"] - models.mean[k]) / (0.05 + own["n"] ** -0.5)).max())
     return models

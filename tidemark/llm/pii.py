@@ -240,6 +240,8 @@ def train(docs: DataFrame) -> dict:
         return out
 
     rows = common.map_rows(picked, fn, "key long, x array<double>, y array<int>").orderBy("key").limit(MAX_CANDIDATES).toPandas()
+    if not len(rows):
+        return fit(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, bool))
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
     y = np.array(rows["y"].tolist(), dtype=int).reshape(len(rows), -1)
     return fit(x, y, rows["key"].to_numpy() % 4 == 0)
@@ -296,6 +298,16 @@ def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return common.map_rows(common.text_docs(docs), fn, SCHEMA)
 
 
+def replaced(text: str, spans: list) -> str:
+    """The text with each span (each run of overlapping ones) replaced by its kind in brackets."""
+    parts, free = [], 0
+    for a, kind, b in spans:
+        if a >= free:
+            parts += [text[free:a], f"[{KINDS[kind].upper()}]"]
+        free = max(free, b)
+    return "".join(parts) + text[free:]
+
+
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """The same rows and columns, each span of the text replaced by its kind in brackets; n_chars follows the text."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
@@ -306,12 +318,11 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
         found = all_spans([t or "" for t in cols[at]], shared.value)
         texts = []
         for t, (base, added) in zip(cols[at], found):
-            parts, free = [], 0
-            for a, kind, b in sorted(base + added):
-                if a >= free:
-                    parts += [t[free:a], f"[{KINDS[kind].upper()}]"]
-                free = max(free, b)
-            texts.append("".join(parts) + t[free:] if parts else t)
+            spans = sorted(base + added)
+            while spans:  # what stays may match now that its neighbours are gone
+                t = replaced(t, spans)
+                spans = base_spans(t)
+            texts.append(t)
         out = dict(zip(names, cols)) | {"text": texts}
         if "n_chars" in out:
             out["n_chars"] = [None if t is None else len(t) for t in texts]
