@@ -114,6 +114,19 @@ def test_shingle_join_odd_rows(odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, (_, c) in want.items() if i == c})
 
 
+def test_one_doc_id_with_several_texts(spark):
+    base = " ".join(f"q{k}" for k in range(60))
+    near = base.replace("q59", "z")
+    rows = [(1, "other words that nobody else has in this place"), (1, base), (2, near), (3, near + "\n" + base), (3, "lone"), (None, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect())
+    assert {k: n for k, n in got.items() if k[1] == 58} == {(1, 58, 1): 1, (2, 58, 1): 1, (None, 58, 1): 1}
+    assert sum(got.values()) == len(rows)
+    lines = paragraphs.report(df).collect()
+    assert Counter(r["doc_id"] for r in lines) == {1: 2, 2: 1, 3: 2, None: 1}
+    assert {r["n_removed"] for r in lines if r["doc_id"] == 3} == {0, 2}
+
+
 # --- 4
 
 

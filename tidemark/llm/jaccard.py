@@ -204,7 +204,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
-def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """a, b: a spanning forest of the links within each candidate group, block pair by block pair."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -215,8 +215,13 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
     texts = docs.join(stands, "doc_id")
 
     def gather(cols):
-        table = WordHash()
-        return {"set_id": cols[1], "component": cols[2], "blocks": cols[3], "shingles": [shingles(t, table, words).tobytes() for t in cols[0]]}
+        table, out = WordHash(), {"set_id": [], "component": [], "blocks": [], "shingles": []}
+        for text, *rest in zip(*cols):
+            s = shingles(text, table, words)
+            if set_ids(s, seed)[0] == rest[0]:
+                for name, value in zip(out, (*rest, s.tobytes())):
+                    out[name].append(value)
+        return out
 
     arrays = common.map_rows(texts.select("text", "set_id", "component", "blocks"), gather, "set_id long, component long, blocks int, shingles binary")
     tasks = max(1, groups.count() // SMALL_ROWS)
@@ -247,7 +252,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = common.text_docs(docs)
     sets, seed = classes(docs, words)
     groups = components(candidate_edges(docs, words, percent, seed))
-    forest = common.saved(links(docs, sets.where("n_shingles > 0"), groups, words, percent), "links")
+    forest = common.saved(links(docs, sets.where("n_shingles > 0"), groups, words, percent, seed), "links")
     joined = components(forest)
     named = sets.join(joined, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_key"))
     least = named.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
