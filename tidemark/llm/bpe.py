@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 END = "</w>"
-CACHE_WORDS = 300_000  # outputs of words a worker keeps at most
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000  # outputs of words a worker keeps at most
+CACHE_PAIRS = 200_000
 #: Letters whose case, class and composition need no Unicode tables (fixed by Latin-1).
 PLAIN = "\t\n\r -~À-ÖØ-öø-ÿ"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

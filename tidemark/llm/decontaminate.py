@@ -26,7 +26,7 @@ SEED = 5
 THRESHOLD = 0.8
 FIRST_SEARCH = 20  # words; the first search length
 BLOCK_BYTES = 8 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
 _SIGNS = " \t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’–—…¿¡"
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -33,8 +33,8 @@ SAMPLE_DOCS = 2_000
 MAX_LANGUAGES = 500  # by number of training rows
 SLACK = 1.25
 LEAST_LIMIT = 8.0  # no calibration makes it stricter: half a nat a character for long texts
-CACHE_WORDS = 400_000
-CHUNK = 1_000_000  # characters that are cut into words at a time
+CACHE_WORDS = 200_000
+CHUNK = 500_000  # characters that are cut into words at a time
 UND = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _OPEN, _CLOSE = "\x02", "\x03"
