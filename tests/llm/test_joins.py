@@ -230,6 +230,45 @@ def test_paragraphs_odd_rows(odd_docs):
             assert r["kept_sha256"] == sha(text)
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(10**5)}" for _ in range(n)]
+    docs, plants = {}, {}
+    for n in range(40):
+        passage = words(rng.randrange(60, 90))
+        for i in (2 * n, 2 * n + 1):
+            body = [*words(rng.randrange(20, 70)), *passage, *words(rng.randrange(20, 70))]
+            at = len(body) // 3 if i % 4 == 3 else len(body)  # some passages run over a line end
+            docs[i] = " ".join(body[:at]) + ("\n" if at < len(body) else "") + " ".join(body[at:])
+            plants[i] = passage
+    docs[80], docs[81] = (" ".join([*words(40), *plants[0][:15], *words(40)]) for _ in range(2))  # too short a passage
+    rows = list(docs.items()) + [(8, docs[8])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.strip(df).collect()}
+    got = {r["doc_id"]: r for r in paragraphs.report(df).collect()}
+    found = 0
+    for i, text in docs.items():
+        gone = list((Counter(text.split()) - Counter(kept[i].split())).elements())
+        assert got[i]["words_removed"] == len(gone) and got[i]["kept_sha256"] == sha(kept[i])
+        if i > 79 or i % 2 == 0:
+            assert kept[i] == text, i
+        else:
+            assert set(gone) <= set(plants[i])
+            found += len(gone) >= len(plants[i]) - 40
+    assert found >= 38
+
+
+def test_passage_of_a_removed_line_stays_once(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"u{rng.randrange(10**5)}" for _ in range(n)]
+    body, passage = words(700), words(60)
+    changed = body[:300] + passage + body[360:]  # J 0.84 to body
+    rows = [(1, " ".join(body)), (2, " ".join(changed)), (3, " ".join([*words(50), *passage, *words(50)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.strip(df).collect()}
+    assert kept[1] == rows[0][1] and kept[2] == "" and kept[3] == rows[2][1]
+
+
 # --- pipeline
 
 
