@@ -136,18 +136,49 @@ def test_tokens_are_the_librarys(spark, odd_docs, no_docs, corpus, library):
 def test_streaming_equals_merging(library):
     t = bpe.Transducer(**bpe.load_tables(TOKENIZER))
     rng = random.Random(2)
-    for n in (1, 31, 32, 33, 64, 65, 200, 900):
+    for n in (2, 31, 32, 33, 64, 65, 200, 900):
         for letters in ("ab", "thean", "the"):
             word = "".join(rng.choice(letters) for _ in range(n))
-            assert list(t.tokens(word)) == library.encode(word, add_special_tokens=False).tokens
+            want = library.encode(word, add_special_tokens=False).tokens
+            for step in (1, 7, n):  # fed in parts, and by the automaton
+                t.begin()
+                got = [x for k in range(0, n - 1, step) for x in t.feed(word[k : min(k + step, n - 1)])]
+                assert got + t.finish(word[-1]) == want and t.short(word) == want
 
 
 def test_special_tokens_and_scripts(library):
     t = bpe.Transducer(**bpe.load_tables(TOKENIZER))
-    for text in ("a<|endoftext|>B <|STARTOFTEXT|>", "ΑΣ İ ² Ⅷ \x1c x", "日本語 don't L'ÉTÉ ½", "é 　 x\u0085y"):
+    for text in ("a<|endoftext|>B <|STARTOFTEXT|>", "ΑΣ İ ² Ⅷ \x1c x", "日本語 don't L'ÉTÉ ½", "é 　 x\u0085y"):
         e = library.encode(text, add_special_tokens=False)
-        parts = bpe.encode_parts(t, text)
-        assert " ".join(p[0] for p in parts if p[1]).split() == list(map(str, e.ids))
+        assert " ".join(bpe.encode_parts(t, text)).split() == list(map(str, e.ids))
+
+
+def test_blocks_do_not_change_ids(library, monkeypatch):
+    t = bpe.Transducer(**bpe.load_tables(TOKENIZER))
+    rng = random.Random(3)
+    pools = ["abcdefghij", "a", "the ", "éßçñüÄÖ", "日本語", "!?.,;:'\"*#", "0123456789", " \n\t", "e\u0301a\u0308\u0327", "ΣσςİIı", "'st've", "😀"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(n)) for n in (3, 40, 900, 3000) for _ in range(8)]
+    texts += [x * 700 for x in ("a", "é", "日", "!", "x'", "the", "\u0301", "İ")] + ["." * 500 + "'s", "it" * 300 + "'ve" + "<|endoftext|>" + "9" * 200]
+    for block in (7, 64, 300):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        for text in texts:
+            ids = library.encode(text, add_special_tokens=False).ids
+            want = len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+            assert bpe.digest(t, t.text_names, text) == want, (block, text[:40])
+
+
+def test_memory_does_not_grow_with_a_word_or_a_text():
+    import tracemalloc
+
+    t = bpe.Transducer(**bpe.load_tables(TOKENIZER))
+    peaks = []
+    for n in (70_000, 280_000):
+        for text in ("z" * n, "ab cd efg " * (n // 10)):
+            tracemalloc.start()
+            bpe.digest(t, t.text_names, text)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert peaks[2] < 1.5 * peaks[0] and peaks[3] < 1.5 * peaks[1], peaks
 
 
 def test_decoder_waits_for_whole_code_points():
@@ -155,10 +186,10 @@ def test_decoder_waits_for_whole_code_points():
     raw = "aé日😀".encode()
     names = {k: letters[b] for k, b in enumerate(raw)}
     d = bpe.Decoder(names, byte_level=True)
-    pieces = [d.feed(k) for k in range(len(raw))]
+    pieces = [d.feed([k]) for k in range(len(raw))]
     assert pieces == ["a", "", "é", "", "", "日", "", "", "", "😀"] and d.finish() == ""
     d = bpe.Decoder(names, byte_level=True)
-    assert d.feed(1) + d.finish() == "�"
+    assert d.feed([1]) + d.finish() == "�"
 
 
 def test_round_trip(spark, corpus):

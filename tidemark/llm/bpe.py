@@ -8,14 +8,22 @@ the last `lookahead` = (longest token - 1) symbols before n, so what all nodes
 of that window have in common is stable and is emitted.  Live memory is the
 window and what it has not yet agreed on.
 
-Words (pre-tokens) repeat, so a worker keeps the outputs of recent words in a
-cache of bounded size; a word's output does not depend on its neighbours.
+A text is read in blocks of BLOCK characters, cut before white space, or inside
+a longer run before an ASCII character; a pre-token that reaches a block's end
+is fed to the transducer in parts.  Ids leave as soon as they are stable, go
+through the decoder at once, and both streams are hashed as they go, so memory
+does not grow with the text or with its longest word.  Words repeat, so a worker
+keeps the ids of recent words in a cache of bounded size; a word's ids do not
+depend on its neighbours.
 
 Empty and null texts give no tokens and the digests of the empty string.
-Repeated rows give repeated rows; other columns of the input are ignored.
+Repeated rows give repeated rows; other columns of the input are ignored by
+digests() and decode(), and kept by encode(), where a column named ids is
+replaced.  An empty table gives an empty result.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,17 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 END = "</w>"
-CACHE_WORDS = 150_000  # outputs of words a worker keeps at most
+CACHE_WORDS = 100_000  # a worker keeps the ids of twice as many words at most
 CACHE_PAIRS = 200_000
+NONE = 1 << 60  # the rank of a pair that does not merge
+_LAST = "\x00"  # stands for the end of a word; no symbol of a vocabulary
+BLOCK = 1 << 16  # characters read at a time
 #: Letters whose case, class and composition need no Unicode tables (fixed by Latin-1).
 PLAIN = "\t\n\r -~À-ÖØ-öø-ÿ"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+@functools.cache
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
+    rest = sorted({*range(256)} - {*own})
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
@@ -57,21 +69,30 @@ def load_tables(path: str) -> dict:
 
 
 class Transducer:
-    """Encodes one pre-token after another; feed() may be called with parts of a very long one."""
+    """Encodes one pre-token after another: begin(), feed() with its parts, finish()."""
 
     def __init__(self, vocab: dict, ranks: dict, end: str = END, special: dict | None = None, whole: dict | None = None):
+        import ahocorasick
+
         self.vocab, self.ranks, self.end, self.special = vocab, ranks, end, special or {}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.text_ids = {t: str(i) for t, i in vocab.items()}
+        self.text_names = {str(i): t for i, t in self.names.items()}
         self.letters = byte_letters()
         self.longest = max((len(self.symbols(a + b)) for a, b in ranks), default=1)
         self.lookahead = self.longest - 1
+        self.whole = whole if whole is not None else {token: last for token in vocab if (last := self.stands(token))}
+        self.words: dict[str, str] = {}  # of late, and of the time before
+        self.older: dict[str, str] = {}
         self.sides: dict[tuple[str, str], bool] = {}
-        self.whole = whole if whole is not None else {}
-        if whole is None:
-            for token in vocab:
-                self.stands(token)
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.finder = ahocorasick.Automaton()
+        cut = len(end) or None
+        for token in self.whole:
+            if token.endswith(end) and end:
+                self.finder.add_word(token[:-cut] + _LAST, (token, len(token) - cut + 1))
+            else:
+                self.finder.add_word(token, (token, len(token)))
+        self.finder.make_automaton()
+        self.begin()
 
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -79,142 +100,244 @@ class Transducer:
             return [*token[:cut], token[cut:]]
         return [*token]
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merge by rank, leftmost first: the definition, used on two tokens at a time."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
+    def stands(self, token: str) -> tuple[int, str, str] | None:
+        """The last merge of a token that is its own encoding: rank (-1 for a single symbol), left, right."""
+        parts = self.symbols(token)
+        while len(parts) > 2:
+            best, at = min((self.ranks.get((parts[i], parts[i + 1]), NONE), i) for i in range(len(parts) - 1))
+            if best == NONE:
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stands(self, token: str) -> bool:
-        """Whether a token is its own encoding."""
-        ok = self.whole.get(token)
-        if ok is None:
-            ok = self.whole[token] = token in self.vocab and self.merged(self.symbols(token)) == [token]
-        return ok
+        rank = self.ranks.get(tuple(parts), NONE) if len(parts) == 2 else -1
+        return (rank, parts[0], parts[-1]) if rank != NONE else None
 
     def beside(self, left: str, right: str) -> bool:
-        ok = self.sides.get((left, right))
-        if ok is None:
-            if len(self.sides) >= CACHE_PAIRS:
-                self.sides.clear()
-            ok = self.sides[left, right] = self.merged([*left, *self.symbols(right)]) == [left, right]
-        return ok
-
-    def last(self, text: str, n: int, tail: str, nodes: dict[int, tuple[str, int]]) -> tuple[str, int]:
-        """The last token of the encoding of text[:n] + tail, and where it starts."""
-        for start in range(max(0, n - self.longest), n):
-            token = text[start:n] + tail
-            if token in self.vocab and self.stands(token) and (start == 0 or self.beside(nodes[start][0], token)):
-                return token, start
-        raise ValueError(f"no token of the vocabulary ends at {n} of {text[max(0, n - 20):n]!r}")
-
-    def tokens(self, word: str):
-        """Yield a word's tokens, each as soon as no continuation can change it."""
-        n, done, nodes = len(word), 0, {}
-        if not n:
-            return
-        if self.whole.get(token := word + self.end):
-            yield token
-            return
-        if n <= self.longest:
-            yield from self.window(word)
-            return
-        for i in range(1, n):
-            nodes[i] = self.last(word, i, "", nodes)
-            if i % (2 * self.longest) == 0:
-                stable = self.agreed(nodes, i, done)
-                yield from self.path(nodes, done, stable)
-                for k in range(done + 1, stable):
-                    nodes.pop(k, None)
-                done = stable
-        final, start = self.last(word, n, self.end, nodes)
-        yield from self.path(nodes, done, start)
-        yield final
-
-    def window(self, word: str) -> list[str]:
-        """A word no longer than the window is stable at its end only: merge it by rank, each pair looked up once."""
-        ranks, none = self.ranks.get, 1 << 60
-        parts = [*word]
-        parts[-1] += self.end
-        order = [ranks(p, none) for p in zip(parts, parts[1:])]
-        while order:
-            best = min(order)
-            if best == none:
-                break
-            i = order.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del order[i]
-            if i:
-                order[i - 1] = ranks((parts[i - 1], parts[i]), none)
-            if i < len(order):
-                order[i] = ranks((parts[i], parts[i + 1]), none)
-        return parts
-
-    def agreed(self, nodes: dict, n: int, done: int) -> int:
+        """Whether two tokens that stand side by side stay two.
+
+        Their merges are undone from the last to the first (of one rank the right
+        one is the later).  They stay apart if at no time a merge across the border
+        would have come before the one that is undone next.
+        """
+        whole, ranks, limit = self.whole, self.ranks, NONE
+        a, b = whole[left], whole[right]
+        while True:
+            if ranks.get((left, right), NONE) < limit:
+                return False
+            if a[0] > b[0]:
+                limit, left = a[0], a[2]
+                a = whole[left]
+            elif b[0] < 0:
+                return True
+            else:
+                limit, right = b[0] + 1, b[1]
+                b = whole[right]
+
+    def begin(self) -> None:
+        """Start a word.  text: its symbols from `base` on; nodes: last token and its start of each live prefix."""
+        self.text, self.base, self.done = "", 0, 0
+        self.nodes: dict[int, tuple[str, int]] = {}
+
+    def feed(self, part: str) -> list[str]:
+        """Take symbols of the word, not its last one; the tokens that no continuation can change."""
+        out: list[str] = []
+        n = self.base + len(self.text)
+        self.text += part
+        whole, beside, wide = self.whole, self.beside, 3 * self.longest
+        for n in range(n + 1, n + len(part) + 1):
+            text, base, nodes = self.text, self.base, self.nodes
+            for start in range(max(self.done, n - self.longest), n):
+                token = text[start - base : n - base]
+                if token in whole and (not start or beside(nodes[start][0], token)):
+                    nodes[n] = (token, start)
+                    break
+            else:
+                raise ValueError(f"no token of the vocabulary ends in {text[-20:]!r}")
+            if n - self.done >= wide:
+                stable = self.agreed(n)
+                if stable > self.done:
+                    out += self.path(stable)
+                    kept = self.nodes[stable]
+                    self.nodes = {k: v for k, v in self.nodes.items() if k > stable} | {stable: kept}
+                    self.text, self.base, self.done = self.text[stable - self.base :], stable, stable
+        return out
+
+    def finish(self, final: str) -> list[str]:
+        """The word's last symbol, which carries the end sign; the rest of its tokens."""
+        text = self.text + final + self.end
+        for start in range(max(self.done, self.base + len(self.text) + 1 - self.longest), self.base + len(self.text) + 1):
+            token = text[start - self.base :]
+            if token in self.whole and (not start or self.beside(self.nodes[start][0], token)):
+                return [*self.path(start), token]
+        raise ValueError(f"no token of the vocabulary ends {text[-20:]!r}")
+
+    def agreed(self, n: int) -> int:
         """The furthest boundary that the encodings of all prefixes ending in the window share."""
+        done, nodes = self.done, self.nodes
         live = set(range(max(done, n - self.lookahead), n + 1))
         while len(live) > 1:
             far = max(live)
             live.discard(far)
-            live.add(max(done, nodes[far][1]) if far > done else done)
+            live.add(max(done, nodes[far][1]))
         return live.pop()
 
-    @staticmethod
-    def path(nodes: dict, done: int, at: int) -> list[str]:
+    def path(self, at: int) -> list[str]:
         out = []
-        while at > done:
-            token, at = nodes[at]
+        while at > self.done:
+            token, at = self.nodes[at]
             out.append(token)
         return out[::-1]
 
-    def word(self, raw: str) -> tuple[str, int, str]:
-        """ids joined by a space, their number, and tokens joined by a space, of a pre-token."""
-        got = self.words.get(raw)
+    def short(self, text: str) -> list[str]:
+        """The tokens of a word that fits the window: the same tree, its tokens found by an automaton, longest first."""
+        n, sides, beside = len(text), self.sides, self.beside
+        lasts: list = [None] * (n + 2)
+        starts = [0] * (n + 2)
+        if len(sides) > CACHE_PAIRS:
+            sides.clear()
+        for at, (token, size) in self.finder.iter(text + _LAST if self.end else text):
+            at += 1
+            if lasts[at] is None:
+                start = at - size
+                if start:
+                    pair = (lasts[start], token)
+                    ok = sides.get(pair)
+                    if ok is None:
+                        ok = sides[pair] = beside(*pair)
+                    if not ok:
+                        continue
+                lasts[at], starts[at] = token, start
+        at, out = n + 1 if self.end else n, []
+        while at:
+            out.append(lasts[at])
+            at = starts[at]
+        return out[::-1]
+
+    def mapped(self, raw: str) -> str:
+        return raw if raw.isascii() and raw.isprintable() else "".join([self.letters[b] for b in raw.encode("utf-8", "surrogatepass")])
+
+    def join(self, tokens: list[str]) -> str:
+        vocab = self.vocab
+        return " ".join([str(vocab[t]) for t in tokens])
+
+    def word(self, raw: str) -> str:
+        """The ids of a whole pre-token, joined by a space."""
+        got = self.words.get(raw) or self.older.get(raw)
         if got is None:
-            if raw.isascii() and raw.isprintable():
-                mapped = raw
+            text = self.mapped(raw)
+            token = text + self.end
+            if token in self.whole:
+                got = str(self.vocab[token])
+            elif len(text) <= 2 * self.longest:
+                got = self.join(self.short(text))
             else:
-                mapped = "".join([self.letters[b] for b in raw.encode()])
-            toks = list(self.tokens(mapped))
-            got = (" ".join([self.text_ids[t] for t in toks]), len(toks), " ".join(toks))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            if len(raw) < 200:
-                self.words[raw] = got
+                self.begin()
+                got = self.join(self.feed(text[:-1]) + self.finish(text[-1]))
+        if len(self.words) >= CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        self.words[raw] = got
         return got
 
 
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _ODD = re.compile(f"[^{PLAIN}]")
+_ASCII = re.compile(r"[\x00-\x7f]")
+_SPACE = re.compile(r"\s")
 
 
-def split_words(text: str) -> list[str]:
-    """Normalise (NFC, white space to a space, lower case of each code point) and cut into pre-tokens."""
-    if not _ODD.search(text):
-        return _FAST.findall(text.lower())
+def _patterns():
+    """The pre-token pattern, and those that continue a run of letters or of other signs, for any text."""
     import regex
 
-    text = unicodedata.normalize("NFC", text)
-    text = regex.sub(r"\p{White_Space}+", " ", text).replace("Σ", "σ").lower()
-    return regex.findall(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+", text)
+    other = r"[^\p{White_Space}\p{L}\p{N}]+"
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|{other}"), (regex.compile(r"\p{L}+"), regex.compile(other)), regex.compile(r"\p{White_Space}+")
+
+
+def normal(text: str) -> str:
+    """NFC, white space to a space, lower case of each code point."""
+    if not _ODD.search(text):
+        return text.lower()
+    return _patterns()[2].sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
 
-def encode_parts(t: Transducer, text: str) -> list[tuple[str, int, str]]:
-    """The outputs of the pre-tokens of a text, special tokens in it included."""
-    parts, out = [text], []
-    if t.special and any(s in text for s in t.special):
-        parts = re.split("(" + "|".join(re.escape(s) for s in sorted(t.special, key=len, reverse=True)) + ")", text)
-    for p in parts:
-        if p in t.special:
-            out.append((str(t.special[p]), 1, p))
+def split_words(text: str) -> list[str]:
+    """The pre-tokens of a text taken whole."""
+    return _FAST.findall(text.lower()) if not _ODD.search(text) else _patterns()[0].findall(normal(text))
+
+
+def cut(text: str, at: int, end: int) -> int:
+    """Where a block that begins at `at` ends: before white space, else before an ASCII sign; composition crosses neither."""
+    if end - at <= BLOCK:
+        return end
+    stop = at + BLOCK
+    for k in range(stop, max(at, stop - 2000), -1):
+        if text[k].isspace():
+            return k
+    if m := _SPACE.search(text, stop, min(end, stop + BLOCK)):
+        return m.start()
+    return next((k for m in _ASCII.finditer(text, stop, end) if not (text[k := m.start()].isalpha() and "'" in text[k - 2 : k])), end)
+
+
+def encode_parts(t: Transducer, text: str):
+    """Yield ids joined by a space, some pre-tokens at a time, special tokens in the text included."""
+    at = 0
+    if t.special and "<" in text:
+        for m in re.finditer("|".join(re.escape(s) for s in sorted(t.special, key=len, reverse=True)), text):
+            yield from _segment(t, text, at, m.start())
+            yield str(t.special[m.group()])
+            at = m.end()
+    yield from _segment(t, text, at, len(text))
+
+
+def _segment(t: Transducer, text: str, at: int, end: int):
+    while at < end:
+        stop, known = cut(text, at, end), t.words.get
+        if stop == end or text[stop].isspace():
+            words = split_words(text[at:stop])
+            if words:
+                yield " ".join([known(w) or t.word(w) for w in words])
+            at = stop
         else:
-            known = t.words
-            out += [known.get(w) or t.word(w) for w in split_words(p)]
-    return out
+            at = yield from _long_run(t, text, at, end)
+
+
+def _long_run(t: Transducer, text: str, at: int, end: int):
+    """Encode blocks whose last pre-token may go on in the next; gives where it ended, before white space."""
+    whole, more, _ = _patterns()
+    running, held = None, ""  # the pattern of the run that is being fed, and its last sign
+    while at < end:
+        stop = cut(text, at, end)
+        block = normal(text[at:stop])
+        last = stop == end or text[stop].isspace()
+        at, k = stop, 0
+        while k < len(block) or (last and running):
+            if running:
+                m = running.match(block, k)
+                signs = t.mapped(m.group()) if m else ""
+                k = m.end() if m else k
+                held += signs
+                if k < len(block) or last:
+                    ids = t.feed(held[:-1]) + t.finish(held[-1])
+                    running = None
+                else:
+                    ids = t.feed(held[:-1])
+                    held = held[-1]
+                if ids:
+                    yield t.join(ids)
+                continue
+            m = whole.search(block, k)
+            if not m:
+                break
+            k = m.end()
+            if k < len(block) or last:
+                yield t.word(m.group())
+            elif run := next((p for p in more if p.fullmatch(m.group())), None):
+                running, held = run, t.mapped(m.group())
+                t.begin()
+            else:  # a number or a contraction; the latter ends where it ends
+                yield t.word(m.group())
+        if last:
+            break
+    return at
 
 
 class Decoder:
@@ -229,14 +352,18 @@ class Decoder:
         import codecs
 
         self.names, self.byte_level, self.first = names, byte_level, True
-        self.bytes = {c: b for b, c in byte_letters().items()}
+        self.bytes = {c: b for b, c in byte_letters().items()} if byte_level else {}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
-        token = self.names[token_id]
+    def feed(self, ids) -> str:
+        """The text that some more ids add."""
+        tokens = list(map(self.names.__getitem__, ids))
         if self.byte_level:
-            return self.state.decode(bytes(self.bytes[c] for c in token))
-        out, self.first = (token if self.first else " " + token), False
+            return self.state.decode(bytes([self.bytes[c] for token in tokens for c in token]))
+        out = " ".join(tokens)
+        if tokens and not self.first:
+            out = " " + out
+        self.first = self.first and not tokens
         return out
 
     def finish(self) -> str:
@@ -251,7 +378,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         import numpy as np
 
         t = _worker(state)
-        return {"ids": [np.array(" ".join([p[0] for p in encode_parts(t, text or "")]).split(), np.int32) for text in texts]}
+        return {"ids": [np.array(" ".join(encode_parts(t, text or "")).split(), np.int32) for text in texts]}
 
     return common.extend(docs, "text", fn, "ids array<int>")
 
@@ -264,37 +391,42 @@ def decode(encoded: DataFrame, tokenizer: str, byte_level: bool = False) -> Data
         names, out = _worker(state).names, []
         for ids in cols[1]:
             d = Decoder(names, byte_level)
-            out.append("".join([d.feed(i) for i in ids or ()]) + d.finish())
+            out.append(d.feed(ids or ()) + d.finish())
         return {"doc_id": cols[0], "decoded": out}
 
     return common.map_rows(encoded.select("doc_id", "ids"), fn, "doc_id long, decoded string")
 
 
+def digest(t: Transducer, names: dict[str, str], text: str) -> tuple[int, str, str]:
+    """Number of ids, and the digests of the ids and of what the decoder makes of them, as streams."""
+    ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+    decoder = Decoder(names, False)
+    for part in encode_parts(t, text):
+        ids_sha.update((" " + part if n else part).encode())
+        ids = part.split(" ")
+        n += len(ids)
+        text_sha.update(decoder.feed(ids).encode())
+    text_sha.update(decoder.finish().encode())
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text, without building either whole column."""
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them, without building either."""
     state = _shared(docs.sparkSession, tokenizer)
 
     def fn(cols):
         t = _worker(state)
-        out = {"doc_id": cols[0], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in cols[1]:
-            parts = encode_parts(t, text)
-            ids, counts, tokens = zip(*parts) if parts else ((), (), ())
-            out["n_tokens"].append(sum(counts))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
-        return out
+        names = t.text_names
+        n, ids, decoded = zip(*[digest(t, names, text) for text in cols[1]])
+        return {"doc_id": cols[0], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return common.map_rows(common.text_docs(docs), fn, SCHEMA)
 
 
-def _shared(spark: SparkSession, tokenizer: str):
-    return spark.sparkContext.broadcast({"tables": load_tables(tokenizer)})
+def _shared(spark: SparkSession, tokenizer: str) -> common.Shared:
+    return common.Shared(spark, load_tables(tokenizer))
 
 
-def _worker(state) -> Transducer:
-    """One transducer for each worker process: it lives beside the broadcast value."""
-    held = state.value
-    if "transducer" not in held:
-        held["transducer"] = Transducer(**held["tables"])
-    return held["transducer"]
+def _worker(state: common.Shared) -> Transducer:
+    """One transducer for each worker process."""
+    return state.get(lambda tables: Transducer(**tables))

@@ -1,6 +1,7 @@
-"""Shared helpers: table access, the shared scratch folder, Arrow row mapping."""
+"""Shared helpers: table access, the shared scratch folder, worker state, Arrow row mapping."""
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,12 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SLICE_BYTES = 4 << 20  # of an Arrow batch that a function gets at a time, but for a larger row
+_scopes: list[list[str]] = []  # the driver's open scopes, each with the scratch paths made in it
+_held: dict = {}  # a worker's state: one entry
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
@@ -25,7 +33,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path for a written table below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -36,14 +47,73 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_saved(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that saved() wrote, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete tables that saved() wrote."""
     for df in tables:
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(conf).delete(p, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(spark, folder)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, keep: tuple[str, ...] = ()):
+    """Deletes the scratch tables made inside when it ends, but for those whose name begins with one of `keep`.
+
+    Results are evaluated late, so what is to outlive a scope is saved in it under a kept name.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            if not path.rpartition("/")[2].startswith(keep or ("\0",)):
+                remove(spark, path)
+
+
+def trim() -> None:
+    """Give freed memory of a worker back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def resident(name, make):
+    """What make() gives, kept by this worker process until another name is asked for: a reused worker holds one state only."""
+    if name not in _held:
+        _held.clear()
+        trim()
+        _held[name] = make()
+    return _held[name]
+
+
+class Shared:
+    """A value that workers get by broadcast, and what they make of it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.name, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def get(self, make=lambda value: value):
+        return resident(self.name, lambda: make(self.broadcast.value))
+
+
+def slices(batch, size: int = SLICE_BYTES):
+    """A batch in slices of so many bytes about."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
 
 
 def text_docs(docs: DataFrame) -> DataFrame:
@@ -51,8 +121,16 @@ def text_docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(list of column lists, broadcasted state ...) -> dict of lists, for each Arrow batch."""
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, fn, schema: str, size: int = SLICE_BYTES) -> DataFrame:
+    """fn(list of column lists) -> dict of lists, for each slice of `size` bytes about of each Arrow batch."""
     from pyspark.sql.types import _parse_datatype_string
 
     kinds = _parse_datatype_string(schema)
@@ -62,10 +140,11 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(kinds)
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole, size):
                 got = fn([c.to_pylist() for c in b.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -84,11 +163,12 @@ def extend(df: DataFrame, column: str, fn, schema: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(whole)
-        for b in batches:
-            if b.num_rows:
+        for large in batches:
+            for b in slices(large):
                 got = fn(b.column(b.schema.get_field_index(column)).to_pylist())
                 arrays = [b.column(b.schema.get_field_index(n)).cast(out.field(n).type) for n in names]
                 arrays += [pa.array(got[n], out.field(n).type) for n in added.names]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        trim()
 
     return df.mapInArrow(run, whole)

@@ -245,10 +245,10 @@ def learn(docs: DataFrame) -> Models:
     models = Models({lang: dict(zip(g["gram"], g["n"])) for lang, g in table.groupby("lang")})
     if not models.langs:
         return models
-    shared = docs.sparkSession.sparkContext.broadcast({"models": models})
+    shared = common.Shared(docs.sparkSession, models)
 
     def measure(cols):
-        found = Scorer(shared.value["models"]).texts(cols[0])
+        found = shared.get(Scorer).texts(cols[0])
         place = {lang: k for k, lang in enumerate(models_langs)}
         out = {"lang": [], "ce": [], "n": []}
         for row, lang in zip(found, cols[1]):
@@ -273,13 +273,11 @@ def learn(docs: DataFrame) -> Models:
 def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
     """All columns of docs and lang_pred, score, cross_entropy, rejected."""
     models = learn(docs) if models is None else models
-    shared = docs.sparkSession.sparkContext.broadcast({"models": models})
+    shared = common.Shared(docs.sparkSession, models)
 
     def fn(texts):
-        held = shared.value
-        if "scorer" not in held:
-            held["scorer"] = Scorer(held["models"])
-        return decide(held["models"], held["scorer"].texts(texts))
+        scorer = shared.get(Scorer)
+        return decide(scorer.models, scorer.texts(texts))
 
     return common.extend(docs, "text", fn, ADDED)
 
@@ -292,12 +290,11 @@ def report(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is not rejected, all columns kept."""
     models = learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast({"models": models})
+    shared = common.Shared(docs.sparkSession, models)
+    flag = common.unused(docs, "_rejected")
 
     def fn(texts):
-        held = shared.value
-        if "scorer" not in held:
-            held["scorer"] = Scorer(held["models"])
-        return {"_rejected": decide(held["models"], held["scorer"].texts(texts))["rejected"]}
+        scorer = shared.get(Scorer)
+        return {flag: decide(scorer.models, scorer.texts(texts))["rejected"]}
 
-    return common.extend(docs, "text", fn, "_rejected boolean").where("not _rejected").drop("_rejected")
+    return common.extend(docs, "text", fn, f"{flag} boolean").where(~F.col(flag)).drop(flag)
