@@ -239,6 +239,38 @@ def test_personal_data(spark, odd_docs, no_docs, corpus):
     assert all(r["text"] is None or not plain_spans(r["text"]) for r in clean)
 
 
+def test_disguised_data_is_added_and_decoys_are_not(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def fill():
+        return " ".join(rng.choice(["and", "the", "ofer", "tion", "wh", "look", "at", "noon", "era."]) for _ in range(rng.randrange(5, 30)))
+
+    plant = [lambda: f"{rng.choice('abcdef')}{digits(3)}.x@mail{digits(1)}.example.com", lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4)), card,
+             lambda: f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}"]
+    train = [f"{fill()} {plant[k % 4]()} {fill()}" for k in range(800)]
+    model = pii.train(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"))
+    assert all(model["kinds"])
+    caught = Counter()
+    for n in range(400):
+        kind = n % 4
+        s = pii.disguised(plant[kind](), kind, rng.randrange(10**6))
+        if pii.spelled(s, kind) is None:
+            continue
+        before = fill() + " "
+        base, added = pii.all_spans([before + s + " " + fill()], model)[0]
+        caught[kind, any(a < len(before) + len(s) and b > len(before) for a, _, b in base + added)] += 1
+    for kind in range(4):
+        assert caught[kind, True] >= 0.9 * (caught[kind, True] + caught[kind, False]), caught
+    for text in [fill() for _ in range(300)] + [f"{fill()} {pii.decoy(card(), 2, k)} {fill()}" for k in range(300)] + ["on 2021-04-13 and 12.05.2019 at 10:11:12 it was 3.14159", "a" * 5000 + "@"]:
+        base, added = pii.all_spans([text], model)[0]
+        assert not base and not [x for x in added if x[1] != 3], (text, added)
+
+
 def test_boosted_trees_learn_a_rule():
     import numpy as np
 

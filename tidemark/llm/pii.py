@@ -1,20 +1,28 @@
 """Personal data: rule spans, and spans that boosted trees add.
 
 Base spans come from fixed patterns with checks.  Beyond them, high-recall
-generators propose overlapping spans (runs around '@', obfuscated addresses,
-runs of digits with separators and their pieces).  Boosted trees, one ensemble
-for each kind, score them by format and context features; a candidate is added
-where its score reaches the kind's calibrated threshold and it overlaps no base
+generators propose overlapping spans: runs around '@', addresses whose signs are
+spelled out or bracketed, numeric addresses with guarded dots, runs of digits
+with any separators and their pieces.  Boosted trees, one ensemble for each kind,
+score them by format and context features; a candidate is added where its score
+reaches the kind's calibrated threshold, what it spells passes the kind's check
+(so no number that fails its checksum becomes a card), and it overlaps no base
 span and no better candidate.
 
 The trees are trained here, on a bounded sample: SAMPLE_DOCS documents about,
 MAX_CANDIDATES candidates at most, both chosen by hash over the whole table.
-Weak labels: a base span of the kind is positive; one of the right shape that
-fails a checksum is left out; all others are negative.  One part in four is kept
-for calibration.  A kind without positives and negatives in the sample adds none.
-
-A null or empty text has no spans; repeated rows give repeated rows; an empty
-table gives an empty result; other columns of the input are ignored.
+Positives are base spans and disguised forms of them, written into the place of
+the original.  Negatives are proven ones: candidates that spell nothing the kind's
+check accepts, and decoys made of base spans (a digit changed so that the checksum
+fails, a part beyond 255, dates, decimals, numbers of other lengths).  Candidates
+of the text that would pass a check without being base spans are not used.  One
+part in four is kept for calibration.  A kind without LEAST positives and negatives
+in the sample adds none.
+
+A null or empty text has no spans; texts are taken whole, whatever their length;
+repeated rows give repeated rows; an empty table gives an empty result.  Of equal
+scores the candidate that begins first, then ends first, then is of the first kind
+goes first.  find() ignores other columns; redact() keeps them, whatever their names.
 """
 from __future__ import annotations
 
@@ -32,8 +40,7 @@ SAMPLE_DOCS = 20_000
 MAX_CANDIDATES = 40_000
 PRECISION = 0.98  # on the calibration part
 TREES, DEPTH, RATE, BINS, LEAST = 30, 3, 0.3, 16, 20
-LONGEST = 64  # characters of a candidate
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,8 +48,16 @@ _DIGITS = re.compile(r"[0-9](?:[0-9 .-]*[0-9])")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE = re.compile(r"[+(]?[0-9](?:[0-9 ().:/-]*[0-9])")
-_VEILED = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,20}){1,4}", re.I)
+_GUARD_AT = r"[\[({<]\s?at\s?[\])}>]|\s(?:at|AT)\s"
+_GUARD_DOT = r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s"
+_AT, _DOT = re.compile(rf"\s?(?:{_GUARD_AT})\s?", re.I), re.compile(_GUARD_DOT, re.I)
+_MARK = re.compile(_GUARD_AT, re.I)
+_AFTER = re.compile(rf"\s?[A-Za-z0-9-]+(?:(?:{_GUARD_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
+_SPELLED = re.compile(rf"\s?[A-Za-z0-9-]+(?:(?:{_GUARD_DOT})[A-Za-z0-9-]+)+", re.I)
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_TOP = re.compile(r"\.[A-Za-z]{2,}$")
+_LOOSE = re.compile(rf"[+(]?[0-9](?:(?:[ ().:/·–-]|{_GUARD_DOT})*[0-9])*", re.I)
+_ANY_AT = re.compile(r"\S*@\S*")
 _CUES = (("mail", "@", "contact"), ("ip", "host", "server"), ("card", "visa", "pay"), ("tel", "phone", "call", "fax"))
 
 
@@ -95,35 +110,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def spelled(s: str, kind: int) -> str | None:
+    """The plain form of what a span spells, if it passes the kind's check."""
+    if kind == 0:
+        t = _DOT.sub(".", _AT.sub("@", s.strip()))
+        return t if _EMAIL.fullmatch(t) and _TOP.search(t) else None
+    if kind == 1:
+        t = _DOT.sub(".", s)
+        return t if _IP.fullmatch(t) and all(map(small, t.split("."))) else None
+    if re.search("[a-z]", s, re.I):
+        return None
+    d = digits_of(s)
+    if kind == 2:
+        return d if 12 <= len(d) <= 19 and luhn(d) else None
+    return d if 9 <= len(d) <= 15 and len(re.findall("[0-9]+", s)) > 1 else None
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Overlapping spans that may be personal data."""
     out = set()
-    at = text.find("@")
-    while at >= 0:
-        a, b = at, at + 1
-        while a > 0 and at - a < LONGEST // 2 and not text[a - 1].isspace():
+    if "@" in text:
+        for m in _ANY_AT.finditer(text):
+            out.add(m.span())
+            bare = m.group().strip(".,;:!?()[]{}<>\"'")
+            a = m.start() + m.group().find(bare)
+            out.add((a, a + len(bare)))
+    free = 0
+    for m in _MARK.finditer(text):
+        a = m.start()
+        if a > free and text[a - 1] == " ":
             a -= 1
-        while b < len(text) and b - at < LONGEST // 2 and not text[b].isspace():
-            b += 1
-        if b - a > 3:
-            out.add((a, b))
-            while b > at and not text[b - 1].isalnum():
-                b -= 1
-            out.add((a, b))
-        at = text.find("@", at + 1)
-    if "(at" in text or "[at" in text or "( at" in text or "[ at" in text:
-        out.update(m.span() for m in _VEILED.finditer(text))
+        start = a
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        host = (_SPELLED if m.group()[0].isspace() else _AFTER).match(text, m.end()) if start < a else None
+        if host:
+            out.add((start, host.end()))
+            free = host.end()
     for m in _LOOSE.finditer(text):
         if m.end() - m.start() < 7:
             continue
-        if m.end() - m.start() <= LONGEST:
-            out.add(m.span())
+        out.add(m.span())
         if " " in m.group():
-            a = m.start()
-            for piece in m.group().split(" "):
-                if 7 <= len(piece) <= LONGEST:
-                    out.add((a, a + len(piece)))
-                a += len(piece) + 1
+            at = [(m.start() + p.start(), m.start() + p.end(), len(digits_of(p.group()))) for p in re.finditer("[^ ]+", m.group())]
+            for k, (a, _, _) in enumerate(at):  # runs of pieces, as far as a number may have digits
+                n = 0
+                for _, b, more in at[k:]:
+                    n += more
+                    if n > 19 and b != at[k][1]:
+                        break
+                    if b - a > 6 and text[a] in "+(0123456789":
+                        out.add((a, b))
     return sorted(out)
 
 
@@ -133,24 +170,70 @@ def features(text: str, a: int, b: int) -> list[float]:
     lengths = [len(g) for g in groups] or [0]
     before = text[max(0, a - 24) : a].lower()
     after = text[b : b + 12]
-    tail = s.rpartition("@")[2]
+    plain = [spelled(s, k) for k in range(len(KINDS))]
     return [
-        b - a, sum(lengths), len(groups), max(lengths), min(lengths), s.count("."), s.count(" "), s.count("-"), s.count("(") + s.count(")"),
-        s.count(":") + s.count("/"), float(s[:1] == "+"), float(s[:1] == "("), s.count("@"), tail.count(".") if "@" in s else 0,
+        min(b - a, 1000), sum(lengths), len(groups), max(lengths), min(lengths), s.count("."), s.count(" "), s.count("-"), s.count("(") + s.count(")"),
+        s.count(":") + s.count("/"), float(s[:1] == "+"), float(s[:1] == "("), s.count("@"), len(_DOT.findall(s)), len(_MARK.findall(s)),
         sum(c.isalpha() for c in s), sum(not (c.isalnum() or c in " .-()+@_%") for c in s),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] == "+"), float(s[-1:].isalnum()),
-        float(all(map(small, groups)) and len(groups) == 4), float(tail.rpartition(".")[2].isalpha()),
-        *(float(any(c in before for c in cues)) for cues in _CUES),
+        float(lengths == [4, 4, 4, 4]), float(lengths[-2:] == [3, 4]), float(lengths in ([4, 2, 2], [2, 2, 4], [1, 2, 4], [2, 1, 4])),
+        *(float(p is not None) for p in plain), *(float(any(c in before for c in cues)) for cues in _CUES),
     ]
 
 
-def label(s: str, span: tuple[int, int], base: dict[tuple[int, int], int]) -> list[int]:
-    """For each kind 1, 0, or -1 where the shape is right but a checksum fails."""
-    out = [0, 0, 0, 0]
-    if span in base:
-        out[base[span]] = 1
-    elif _CARD.fullmatch(s) and 12 <= len(digits_of(s)) <= 19:
-        out[2] = -1
+def disguised(s: str, kind: int, dice: int) -> str:
+    """Another way in which people write a base span."""
+    if kind == 0:
+        at = (" (at) ", "[at]", " at ", " [at] ", "(at)")[dice % 5]
+        dot = (" (dot) ", "[dot]", " dot ", ".", "[.]")[dice // 5 % 5]
+        name, _, host = s.partition("@")
+        return name + at + host.replace(".", " dot " if at == " at " else dot)
+    if kind == 1:
+        return s.replace(".", ("[.]", "(.)", " dot ", "[dot]")[dice % 4])
+    d = digits_of(s)
+    if kind == 2:
+        return (".", "/", "–", " - ")[dice % 4].join([d[k : k + 4] for k in range(0, len(d), 4)])
+    if len(d) > 10:
+        d = d[-10:]
+    return (f"({d[:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[:-7]}-{d[-7:-4]}-{d[-4:]}", f"{d[:-7]}.{d[-7:-4]}.{d[-4:]}", f"00 1 {d[:-7]} {d[-7:-4]} {d[-4:]}")[dice % 4]
+
+
+def decoy(s: str, kind: int, dice: int) -> str:
+    """Something alike that is no personal data of the kind."""
+    d = digits_of(s) or "20210413"
+    if kind == 0:
+        name, _, host = s.partition("@")
+        return (f"@{name}", f"{name} at {host.partition('.')[0]}", f"{name}@", f"{name} @ {dice % 100}")[dice % 4]
+    if kind == 1:
+        return (f"{256 + dice % 700}." + s.partition(".")[2], s.rpartition(".")[0], f"{s}.{dice % 90}.{dice % 7}", f"{dice % 90}.{dice % 10}")[dice % 4]
+    if kind == 2:
+        wrong = d[:-1] + str((int(d[-1]) + 1 + dice % 9) % 10)
+        return (wrong, ".".join([wrong[k : k + 4] for k in range(0, len(wrong), 4)]), d[:8], "-".join([wrong[k : k + 4] for k in range(0, len(wrong), 4)]))[dice % 4]
+    return (f"{1900 + dice % 130}-{1 + dice % 12:02d}-{1 + dice % 28:02d}", f"{1 + dice % 28:02d}.{1 + dice % 12:02d}.{1900 + dice % 130}", f"{d[:3]}.{d[3:5]}", f"{dice % 24:02d}:{dice % 60:02d}:{dice % 59:02d}")[dice % 4]
+
+
+def examples(text: str, key: int) -> list[tuple[list[float], list[int]]]:
+    """Features and, for each kind, 1, 0 or -1 (not used), of a text's candidates and of forms made of its base spans."""
+    base, out = base_spans(text), []
+    known = {(a, b): k for a, k, b in base}
+    for a, b in candidates(text):
+        plain = [spelled(text[a:b], k) for k in range(len(KINDS))]
+        y = [0 if p is None else -1 for p in plain]
+        if (a, b) in known:
+            y = [1 if k == known[a, b] else 0 if plain[k] is None else -1 for k in range(len(KINDS))]
+        out.append((features(text, a, b), y))
+    for a, kind, b in base:
+        dice = (key + a * 7919) % 1_000_003
+        for k, form in enumerate((disguised(text[a:b], kind, dice), disguised(text[a:b], kind, dice // 7), decoy(text[a:b], kind, dice), decoy(text[a:b], kind, dice // 5))):
+            near = text[max(0, a - 40) : a] + form + text[b : b + 40]
+            at = min(a, 40)
+            mine = [(x, y) for x, y in candidates(near) if x < at + len(form) and at < y]
+            exact = (at, at + len(form))
+            if k < 2:
+                if spelled(form, kind) is not None and exact in mine:
+                    out.append((features(near, *exact), [1 if j == kind else 0 if spelled(form, j) is None else -1 for j in range(len(KINDS))]))
+            else:
+                out += [(features(near, x, y), [0 if j == kind and spelled(near[x:y], j) is None or k == 2 and j == kind == 3 else -1 for j in range(len(KINDS))]) for x, y in mine]
     return out
 
 
@@ -232,11 +315,12 @@ def train(docs: DataFrame) -> dict:
     def fn(cols):
         out = {"key": [], "x": [], "y": []}
         for doc_id, text in zip(*cols):
-            base = {(a, b): k for a, k, b in base_spans(text)}
-            for a, b in candidates(text):
-                out["key"].append(int.from_bytes(hashlib.blake2b(f"{doc_id}:{a}:{b}".encode(), digest_size=6).digest(), "big"))
-                out["x"].append(features(text, a, b))
-                out["y"].append(label(text[a:b], (a, b), base))
+            key = int.from_bytes(hashlib.blake2b(f"{doc_id}".encode(), digest_size=5).digest(), "big")
+            for n, (x, y) in enumerate(examples(text, key)):
+                if max(y) >= 0:
+                    out["key"].append(int.from_bytes(hashlib.blake2b(f"{doc_id}:{n}".encode(), digest_size=6).digest(), "big"))
+                    out["x"].append(x)
+                    out["y"].append(y)
         return out
 
     rows = common.map_rows(picked, fn, "key long, x array<double>, y array<int>").orderBy("key").limit(MAX_CANDIDATES).toPandas()
@@ -267,8 +351,8 @@ def all_spans(texts: list[str], model: dict) -> list[tuple[list, list]]:
     for kind, m in enumerate(model["kinds"]):
         if m:
             p = probability(model, m[:2], bins)
-            offers += [(-p[i], *spans[i], kind) for i in np.flatnonzero(p >= m[2])]
-    for _, k, a, b, kind in sorted(offers):
+            offers += [(-p[i], *spans[i], kind) for i in np.flatnonzero(p >= m[2]) if spelled(texts[spans[i][0]][spans[i][1] : spans[i][2]], kind) is not None]
+    for _, k, a, b, kind in sorted(offers, key=lambda o: (round(o[0], 6), *o[1:])):
         if not any(s < b and a < e for s, _, e in out[k][1]):
             out[k][1].append((a, kind, b))
     for _, added in out:
@@ -282,17 +366,18 @@ def joined(spans: list) -> str:
 
 def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Base counts and digest, and all spans, of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
+    shared = common.Shared(docs.sparkSession, train(docs) if model is None else model)
 
     def fn(cols):
         out = {name.split()[0]: [] for name in SCHEMA.split(", ")}
         out["doc_id"] = cols[0]
-        for base, added in all_spans(cols[1], shared.value):
+        for base, added in all_spans(cols[1], shared.get()):
             for k, kind in enumerate(KINDS):
                 out[f"n_{kind}"].append(sum([x[1] == k for x in base]))
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(sorted(base + added)))
             out["n_added"].append(len(added))
+            out["n_spans"].append(len(base) + len(added))
         return out
 
     return common.map_rows(common.text_docs(docs), fn, SCHEMA)
@@ -310,12 +395,12 @@ def replaced(text: str, spans: list) -> str:
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """The same rows and columns, each span of the text replaced by its kind in brackets; n_chars follows the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
+    shared = common.Shared(docs.sparkSession, train(docs) if model is None else model)
     names = docs.columns
     at = names.index("text")
 
     def fn(cols):
-        found = all_spans([t or "" for t in cols[at]], shared.value)
+        found = all_spans([t or "" for t in cols[at]], shared.get())
         texts = []
         for t, (base, added) in zip(cols[at], found):
             spans = sorted(base + added)
