@@ -284,7 +284,7 @@ def test_pipeline(spark, corpus):
     rejected = {r["doc_id"] for r in langid.report(df).collect() if r["rejected"]}
     assert len(rejected) <= 0.02 * len(texts)
     left = {i: t for i, t in texts.items() if i not in rejected}
-    left = {i: left[i] for i, (_, c) in jaccard_classes(left, 3, 90).items() if i == c}
+    left = {i: left[i] for i, (_, c) in jaccard_classes(left, 5, 80).items() if i == c}
     left = {i: t for i, t in left.items() if not any(b in t for b in bench)}
     docs = df
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -189,10 +189,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs, out = common.text_docs(docs), None
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = common.Shared(spark, block)
 
         def fn(cols, shared=shared):
-            rows = [(d, *m) for d, text in zip(*cols) for m in match(shared.value, text)]
+            rows = [(d, *m) for d, text in zip(*cols) for m in match(shared.get(), text)]
             return {n.split()[0]: [r[k] for r in rows] for k, n in enumerate(SCHEMA.split(", "))}
 
         found = common.map_rows(docs, fn, SCHEMA)
@@ -204,7 +204,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, all columns kept."""
     spark = docs.sparkSession
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        flag = lambda texts, shared=shared: {"_contaminated": [bool(t and match(shared.value, t)) for t in texts]}
+        shared = common.Shared(spark, block)
+        flag = lambda texts, shared=shared: {"_contaminated": [bool(t and match(shared.get(), t)) for t in texts]}
         docs = common.extend(docs, "text", flag, "_contaminated boolean").where("not _contaminated").drop("_contaminated")
     return docs

@@ -14,8 +14,9 @@ a spanning forest of its links, so no link between components is lost and no
 group is written as all its pairs.
 
 Null or wordless texts have an empty set, link with nothing and are their own
-component.  Repeated rows and ties share a component; it is named by its smallest
-doc_id.  An empty table gives an empty result; other columns are ignored.
+component.  Texts are taken whole, whatever their length.  Repeated rows and ties
+share a component; it is named by its smallest doc_id.  An empty table gives an
+empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -115,7 +116,7 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
     while True:
 
         def fn(cols, seed=seed):
-            table = WordHash()
+            table = common.resident("words", WordHash)
             out = {"doc_id": cols[0], "n_shingles": [], "set_id": [], "proof": []}
             for text in cols[1]:
                 s = shingles(text, table, words)
@@ -138,7 +139,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> Dat
     """
 
     def fn(cols):
-        table, ids, sigs, known = WordHash(), [], [], set()
+        table, ids, sigs, known = common.resident("words", WordHash), [], [], set()
         for text in cols[0]:
             s = shingles(text, table, words)
             i = set_ids(s, seed)[0]
@@ -162,7 +163,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> Dat
         own = np.concatenate([own[first], pairs[:, 0], pairs[:, 1]])
         return {"sig": sig.view(np.int64), "id": own}
 
-    rows = common.map_rows(docs.select("text"), fn, "sig long, id long")
+    rows = common.map_rows(docs.select("text"), fn, "sig long, id long", 16 << 20)
     hubs = rows.withColumn("hub", F.min("id").over(Window.partitionBy("sig"))).where("id <> hub")
     return hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
@@ -215,7 +216,7 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
     texts = docs.join(stands, "doc_id")
 
     def gather(cols):
-        table, out = WordHash(), {"set_id": [], "component": [], "blocks": [], "shingles": []}
+        table, out = common.resident("words", WordHash), {"set_id": [], "component": [], "blocks": [], "shingles": []}
         for text, *rest in zip(*cols):
             s = shingles(text, table, words)
             if set_ids(s, seed)[0] == rest[0]:
@@ -260,7 +261,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that name their component, all columns kept; of rows equal in doc_id and text one stays.
+    """The rows of docs that name their component, all columns kept whatever their names; of rows equal in doc_id and text one stays.
 
     Rows without a doc_id name nothing and all stay.
     """
