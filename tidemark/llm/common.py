@@ -60,6 +60,14 @@ def drop_saved(spark: SparkSession, *tables: DataFrame) -> None:
             remove(spark, folder)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession, keep: tuple[str, ...] = ()):
     """Deletes the scratch tables made inside when it ends, but for those whose name begins with one of `keep`.

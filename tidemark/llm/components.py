@@ -18,6 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     one = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     both = common.saved(one.union(one.select("b", "a")).distinct(), "edges")
+    common.free(edges.sparkSession)
     labels = common.saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).select("a", "label")

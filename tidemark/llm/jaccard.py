@@ -80,12 +80,22 @@ def size_classes(percent: int, most: int) -> np.ndarray:
 _ENDS: dict[int, np.ndarray] = {}
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set's parts in the schemes of its size class and the next."""
+def class_of(n: int, percent: int) -> tuple[int, np.ndarray]:
+    """The size class of a set of n shingles, and the classes' last sizes."""
     ends = _ENDS.get(percent)
-    if ends is None or ends[-2] < len(s):
-        ends = _ENDS[percent] = size_classes(percent, 4 * len(s) + 1000)
-    own = int(np.searchsorted(ends, len(s)))
+    if ends is None or ends[-2] < n:
+        ends = _ENDS[percent] = size_classes(percent, 4 * n + 1000)
+    return int(np.searchsorted(ends, n)), ends
+
+
+def slots_of(set_id: np.ndarray, scheme: np.ndarray) -> np.ndarray:
+    """What stands for a class in a scheme: a class has two, so groups never span more than two size classes."""
+    return mix(set_id.view(np.uint64) + scheme.astype(np.uint64) * _P3).view(np.int64)
+
+
+def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Signatures of a set's parts in the schemes of its size class and the next."""
+    own, ends = class_of(len(s), percent)
     out = []
     lo, hi = (s & np.uint64(0xFFFFFFFF)).astype(float), (s >> np.uint64(32)).astype(float)
     for scheme in (own, own + 1):
@@ -99,8 +109,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         a = np.bincount(part, lo, parts).astype(np.uint64)
         b = np.bincount(part, hi, parts).astype(np.uint64)
         sig = mix(mix(a * _P1 + np.arange(parts, dtype=np.uint64)) + b * _P2 + salt)
-        out.append(sig if parts - full.sum() > SPARE else sig[full])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((scheme, sig if parts - full.sum() > SPARE else sig[full]))
+    return out
 
 
 def set_ids(s: np.ndarray, seed: int) -> tuple[int, int]:
@@ -132,7 +142,7 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
 
 
 def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """a, b: classes joined to the smallest class of a signature they share.
+    """a, b: slots joined to the smallest slot of a signature they share.
 
     A batch gives each signature once, with its smallest class, so a signature that
     a third of all documents have makes as many rows as there are batches.
@@ -145,8 +155,9 @@ def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> Dat
             i = set_ids(s, seed)[0]
             if len(s) and i not in known:
                 known.add(i)
-                sigs.append(signatures(s, percent))
-                ids.append(np.full(len(sigs[-1]), i, np.int64))
+                for scheme, sig in signatures(s, percent):
+                    sigs.append(sig)
+                    ids.append(np.full(len(sig), slots_of(np.array([i]), np.array([scheme]))[0]))
         if not ids:
             return {"sig": [], "id": []}
         sig, own = np.concatenate(sigs), np.concatenate(ids)
@@ -205,18 +216,29 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
+def slots(sets: DataFrame, percent: int) -> DataFrame:
+    """node, set_id: the two slots of every class."""
+
+    def fn(cols):
+        own = np.array([class_of(n, percent)[0] for n in cols[1]], np.int64)
+        ids = np.array(cols[0], np.int64)
+        return {"node": np.concatenate([slots_of(ids, own), slots_of(ids, own + 1)]), "set_id": np.concatenate([ids, ids])}
+
+    return common.map_rows(sets.select("set_id", "n_shingles").distinct(), fn, "node long, set_id long")
+
+
 def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """a, b: a spanning forest of the links within each candidate group, block pair by block pair."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = groups.join(sizes, "component").withColumn("blocks", blocks)
+    members = groups.join(sizes, "component").join(slots(sets, percent), "node").groupBy("set_id").agg(F.collect_list(F.struct("component", blocks.alias("blocks"))).alias("groups"))
     least = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))  # one document stands for its class
-    stands = least.join(members, F.col("set_id") == F.col("node")).select("doc_id", "set_id", "component", "blocks")
+    stands = least.join(members, "set_id").select("doc_id", "set_id", "groups")
     # doc_id may repeat with other texts: the set id is checked again
     texts = docs.join(stands, "doc_id")
 
     def gather(cols):
-        table, out = common.resident("words", WordHash), {"set_id": [], "component": [], "blocks": [], "shingles": []}
+        table, out = common.resident("words", WordHash), {"set_id": [], "groups": [], "shingles": []}
         for text, *rest in zip(*cols):
             s = shingles(text, table, words)
             if set_ids(s, seed)[0] == rest[0]:
@@ -224,7 +246,8 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
                     out[name].append(value)
         return out
 
-    arrays = common.map_rows(texts.select("text", "set_id", "component", "blocks"), gather, "set_id long, component long, blocks int, shingles binary")
+    arrays = common.map_rows(texts.select("text", "set_id", "groups"), gather, "set_id long, groups array<struct<component:long,blocks:int>>, shingles binary")
+    arrays = arrays.select("set_id", "shingles", F.explode("groups").alias("_g")).select("set_id", "shingles", "_g.component", "_g.blocks")
     tasks = max(1, groups.count() // SMALL_ROWS)
     own = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")
     # block pairs (own, other), and all small groups of a hash together
@@ -252,8 +275,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id of every document."""
     docs = common.text_docs(docs)
     sets, seed = classes(docs, words)
+    common.free(docs.sparkSession)
     groups = components(candidate_edges(docs, words, percent, seed))
+    common.free(docs.sparkSession)
     forest = common.saved(links(docs, sets.where("n_shingles > 0"), groups, words, percent, seed), "links")
+    common.free(docs.sparkSession)
     joined = components(forest)
     named = sets.join(joined, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_key"))
     least = named.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
