@@ -100,8 +100,63 @@ def test_wrapper_takes_out_template_text(spark):
 
 
 def test_repeats_fold():
-    item = [("li", 0), ("#", 5), ("/li", 0)]
-    assert pages.folded([("ul", 0), *item, *item, *item, ("/ul", 0)]) == [("ul", 0), ("*li # /li", 0), ("/ul", 0)]
+    text = lambda *keys: ("#", frozenset(keys))
+    tag = lambda name: (name, frozenset())
+    items = [tag("ul"), *(x for k in (5, 6, 7) for x in (tag("li"), text(k), tag("/li"))), tag("/ul")]
+    assert pages.folded(items) == [tag("ul"), ("*li # /li", frozenset((5, 6, 7))), tag("/ul")]
+
+
+def test_alignment_makes_slots_optionals_and_repeats():
+    w = pages.Wrapper()
+    for n in range(4):
+        w.align(pages.Wrapper.of(f"<div><h2>Same</h2>{'<em2>extra</em2>' if n == 2 else ''}<p>t{n}</p>{f'<p>more {n}</p>' * n}</div>"))
+    assert w.pages == 4 and w.constants() == [pages.text_key("/div/h2", "Same")]
+    by = {i[0]: i for i in w.items}
+    assert by["em2"][2] and by["em2"][3] == 1 and not by["h2"][2] and by["h2"][3] == 4 and "*p # /p" in by
+    again = pages.Wrapper.unpack(w.pack())
+    assert again.items == w.items and again.paths == w.paths and again.rule() == w.rule()
+
+
+def plain_sites(rng, hosts, n):
+    """Sites without a telling tag or class: (page_id, url, html), and the text of each page's main element."""
+    words = lambda k: " ".join(rng.choice("era tion wh lyer an heo st ing ou es".split()) + str(rng.randrange(1000)) for _ in range(k))
+    rows, want = [], {}
+    for h in range(hosts):
+        menu = "".join(f"<li><a href=/{k}>{words(2)}</a>" for k in range(rng.randrange(3, 9)))
+        slogan, rights, order = words(6), words(12), rng.random() < 0.5
+        for k in range(n):
+            paragraphs = [words(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 8))]
+            head = words(5)
+            body = f"<div class=c{h}><h2>{head}</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+            side = "<div class=s><ul>" + "".join(f"<li><a href=x>{words(3)}</a></li>" for _ in range(rng.randrange(2, 7))) + "</ul></div>"
+            top = f"<div class=t>{slogan}</div><div class=m><ul>{menu}</ul></div>"
+            i = len(rows)
+            rows.append((i, f"http://h{h}.example/{k}", f"<html><body>{top}{side if order else ''}{body}{'' if order else side}<div class=b>{rights}</div></body></html>"))
+            want[i] = " ".join([head, *paragraphs])
+    return rows, want
+
+
+def test_wrappers_find_main_text_without_telling_marks(spark):
+    import random
+
+    rows, want = plain_sites(random.Random(4), 12, 15)
+    df = spark.createDataFrame(rows, PAGES).repartition(7)
+    assert pages.infer(df).count() == 12
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    right = sum(got[i] == t for i, t in want.items())
+    kept = sum(len(set(got[i].split()) & set(t.split())) for i, t in want.items()) / sum(len(set(t.split())) for t in want.values())
+    assert right >= 0.95 * len(want) and kept >= 0.98, (right, len(want), kept)
+
+
+def test_rules_joined_by_salt_are_the_same(spark, monkeypatch):
+    import random
+
+    rows, _ = plain_sites(random.Random(5), 3, 6)
+    rows += [(100, None, "<p>x"), (100, None, "<p>x"), (None, "http://h0.example/q", None), (101, "u", "")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], PAGES + ", main string").repartition(3)
+    few = sorted(map(tuple, pages.main_text(df).collect()), key=str)
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, pages.main_text(df).collect()), key=str) == few and len(few) == len(rows)
 
 
 def test_articles_of_the_table(spark):
