@@ -2,13 +2,15 @@
 
 Documents of equal shingle sets form a class.  Two sets that reach the threshold
 differ in at most k shingles, k by their size class; so if shingles are dealt to
-k + 1 + SPARE parts by hash, at least 1 + SPARE parts agree whole.  Every class
-gives a signature of each part that is not empty (of the empty ones too where
-there are more than SPARE of them), in its size class and the next, which makes
-candidate search exact.  Candidates are linked to the smallest class of their
-signature only, and what is connected so is compared: members of a candidate
-group are cut into blocks of BLOCK, and each pair of blocks is a task that
-multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
+k + 1 + spare parts by hash, at least 1 + spare parts agree whole, and one of them
+is not empty if either set has `spare` empty parts at most.  Every class gives a
+signature of each part that is not empty, in its size class and the next, for
+spare = SPARE and then twice as many until its own empty parts are no more; of two
+sets, the one that stops first is dealt alike by the other, so candidate search is
+exact.  Candidates are linked to the smallest class of their signature only, and
+what is connected so in one scheme (two size classes) is compared: members of a
+candidate group are cut into blocks of BLOCK, and each pair of blocks is a task
+that multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
 columns, and keeps the pairs that reach the size-derived bound.  A task gives out
 a spanning forest of its links, so no link between components is lost and no
 group is written as all its pairs.
@@ -99,17 +101,20 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     out = []
     lo, hi = (s & np.uint64(0xFFFFFFFF)).astype(float), (s >> np.uint64(32)).astype(float)
     for scheme in (own, own + 1):
-        salt = mix(np.array([scheme + 1], np.uint64))
         most = 2 * int(ends[scheme]) * (100 - percent) // (100 + percent)
-        if not most:
-            continue  # only equal sets link, and they are one class
-        parts = most + 1 + SPARE
-        part = (mix(s * _P3 + salt) % np.uint64(parts)).astype(np.int64)
-        full = np.bincount(part, minlength=parts) > 0
-        a = np.bincount(part, lo, parts).astype(np.uint64)
-        b = np.bincount(part, hi, parts).astype(np.uint64)
-        sig = mix(mix(a * _P1 + np.arange(parts, dtype=np.uint64)) + b * _P2 + salt)
-        out.append((scheme, sig if parts - full.sum() > SPARE else sig[full]))
+        spare = SPARE
+        while most:  # else only equal sets link, and they are one class
+            parts = most + 1 + spare
+            salt = mix(np.array([scheme + 1 + (spare << 32)], np.uint64))
+            part = (mix(s * _P3 + salt) % np.uint64(parts)).astype(np.int64)
+            full = np.bincount(part, minlength=parts) > 0
+            a = np.bincount(part, lo, parts).astype(np.uint64)
+            b = np.bincount(part, hi, parts).astype(np.uint64)
+            sig = mix(mix(a * _P1 + np.arange(parts, dtype=np.uint64)) + b * _P2 + salt)
+            out.append((scheme, sig[full]))
+            if parts - full.sum() <= spare:
+                break
+            spare *= 2
     return out
 
 
