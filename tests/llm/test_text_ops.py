@@ -330,19 +330,66 @@ def test_tiling_is_greedy_longest_first():
         tiles = decontaminate.tile(item, text, 3)
         assert all((item[q : q + n] == text[p : p + n]).all() for q, p, n in tiles)
         assert len({q + k for q, _, n in tiles for k in range(n)}) == len({p + k for _, p, n in tiles for k in range(n)}) == sum(n for *_, n in tiles)
-        # ties of length may fall otherwise; the longest tile may not
-        assert max((n for *_, n in tiles), default=0) == (max_common(item, text) if max_common(item, text) >= 3 else 0)
-
-
-def max_common(a, b):
-    best = 0
-    for q in range(len(a)):
-        for p in range(len(b)):
-            n = 0
-            while q + n < len(a) and p + n < len(b) and a[q + n] == b[p + n]:
-                n += 1
-            best = max(best, n)
-    return best
+        assert sum(n for *_, n in tiles) == total
+
+
+def test_tiling_goes_on_with_what_a_longer_tile_left():
+    import numpy as np
+
+    item = np.arange(1, 26)
+    text = np.concatenate([item[0:9], [-1], item[5:14], [-1], item[14:25]])
+    assert sum(n for *_, n in decontaminate.tile(item, text, 5)) == 9 + 5 + 11
+
+
+def test_repeated_words_cost_no_more():
+    import time
+
+    import numpy as np
+
+    began = time.perf_counter()
+    assert sum(n for *_, n in decontaminate.tile(np.ones(300, int), np.ones(100_000, int), 5)) == 300
+    block = decontaminate.Block([(1, "so " * 300), (2, "it is " * 200)])
+    assert [m[0] for m in decontaminate.match(block, "so " * 100_000 + "it is " * 50_000)] == [1, 2]
+    assert time.perf_counter() - began < 20
+
+
+def brute_coverage(item, text):
+    """Coverage of greedy tiling with tiles of five words or more, by definition."""
+    least = min(5, len(item))
+    a, b, total = set(range(len(item))), set(range(len(text))), 0
+    while True:
+        best, at = 0, None
+        for q in sorted(a):
+            for p in sorted(b):
+                n = 0
+                while q + n in a and p + n in b and item[q + n] == text[p + n]:
+                    n += 1
+                if n > best:
+                    best, at = n, (q, p)
+        if best < least:
+            return total / len(item)
+        a -= set(range(at[0], at[0] + best))
+        b -= set(range(at[1], at[1] + best))
+        total += best
+
+
+def test_contamination_is_as_by_definition(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(12)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(2, 25))] for i in range(12)}
+    texts = {}
+    for d in range(60):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 20))]
+        for i in rng.sample(sorted(items), 2):
+            w = items[i]
+            cut = rng.randrange(len(w))
+            t += w[cut:] + [rng.choice(vocabulary)] * rng.randrange(3) + w[: max(0, cut - rng.randrange(4))]
+        texts[d] = t
+    want = {(d, i): c for d, t in texts.items() for i, w in items.items() if (c := brute_coverage(w, t)) >= 0.8}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
 
 
 def test_benchmark_passages(spark, corpus):

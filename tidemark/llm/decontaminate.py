@@ -4,15 +4,19 @@ Words are lower-cased runs without white space, stripped of signs at both ends.
 Documents and benchmark items that share a seed (SEED words in a row; the whole
 item if it is shorter) are joined.  A pair is dropped unless its seeds cover
 THRESHOLD of the item, an upper bound of what tiles can cover.  On the rest
-running Karp-Rabin matching finds the longest matches of unmarked words, marks
-them from the longest down, and repeats with shorter ones to SEED words.  Tiles
-may lie in any order, so reordered passages count.  A document is contaminated by
-an item whose words its tiles cover to THRESHOLD or more.
+running Karp-Rabin matching finds the length of the longest match of unmarked
+words, marks all matches of that length that do not overlap, in order of item and
+text position, and goes on with what is left, to SEED words.  Tiles may lie in any
+order, so reordered passages count.  A document is contaminated by an item whose
+words its tiles cover to THRESHOLD or more.  Repeated words cost no more than
+others: a seed or window is looked up once, however often it occurs.
 
 The benchmark is taken in blocks of BLOCK_BYTES at most, each sent to all
 executors, so any size of it works.  Items or documents without a word match
-nothing; items of equal words are matched each.  Repeated rows give repeated
-rows; an empty table on either side gives an empty result.
+nothing; items of equal words are matched each.  Texts are taken whole, whatever
+their length.  Repeated rows give repeated rows; clean() passes all columns,
+whatever their names; an empty table on either side gives an empty result (clean()
+then keeps all).
 """
 from __future__ import annotations
 
@@ -24,7 +28,6 @@ from . import common
 
 SEED = 5
 THRESHOLD = 0.8
-FIRST_SEARCH = 20  # words; the first search length
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 150_000
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
@@ -94,63 +97,69 @@ class Block:
             lo = np.searchsorted(known, h, "left")
             hi = np.searchsorted(known, h, "right")
             hit = np.flatnonzero(hi > lo)
-            by: dict[int, tuple[set, set]] = {}
-            for k in hit:
-                for r in range(lo[k], hi[k]):
-                    at = by.setdefault(int(item[r]), (set(), set()))
-                    at[0].add(int(full[k]))
-                    at[1].add(int(place[r]))
-            for i, (here, there) in by.items():
-                covered = set()
-                for p in there:
-                    covered.update(range(p, p + n))
+            if not len(hit):
+                continue
+            _, one, which = np.unique(lo[hit], return_index=True, return_inverse=True)
+            by: dict[int, tuple[list, set]] = {}
+            for k, j in enumerate(hit[one]):  # each seed once
+                for r in range(lo[j], hi[j]):
+                    at = by.setdefault(int(item[r]), ([], set()))
+                    at[0].append(k)
+                    at[1].update(range(int(place[r]), int(place[r]) + n))
+            for i, (seeds, covered) in by.items():
                 if len(covered) >= THRESHOLD * len(self.items[i]):
-                    mask = np.zeros(len(ids), bool)
-                    for p in here:
-                        mask[p : p + n] = True
-                    out[i] = mask
+                    here = full[hit[np.isin(which, seeds)]]
+                    edge = np.bincount(here, minlength=len(ids) + 1) - np.bincount(here + n, minlength=len(ids) + 1)
+                    out[i] = np.cumsum(edge[: len(ids)]) > 0
         return out
 
 
+def free_windows(ids: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n unmarked words in a row begin, and their hashes."""
+    if len(ids) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    marks = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(marks[n:] == marks[:-n])
+    return at, window_hash(ids, n)[at]
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (item position, text position, length), no word in two; text words below 0 match nothing."""
     free_i, free_t = np.ones(len(item), bool), text >= 0
     tiles: list[tuple[int, int, int]] = []
-    length = max(least, min(FIRST_SEARCH, len(item)))
-    while True:
-        found, longest = [], 0
-        # Karp-Rabin: hashes of the unmarked runs of this length, text against item
+
+    def meet(n: int) -> bool:
+        return bool(np.isin(free_windows(item, free_i, n)[1], free_windows(text, free_t, n)[1]).any())
+
+    most = min(len(item), len(text))
+    while most >= least and meet(least):
+        low, high = least, most + 1  # the longest match has `low` words or more, fewer than `high`
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if meet(mid) else (low, mid)
+        at, hashes = free_windows(text, free_t, low)
         where: dict[int, list[int]] = {}
-        for p, h in enumerate(window_hash(text, length)):
-            if free_t[p : p + length].all():
-                where.setdefault(int(h), []).append(p)
-        for q, h in enumerate(window_hash(item, length) if where else ()):
-            if not free_i[q : q + length].all():
-                continue
-            for p in where.get(int(h), ()):
-                n = 0
-                while q + n < len(item) and p + n < len(text) and free_i[q + n] and free_t[p + n] and item[q + n] == text[p + n]:
-                    n += 1
-                if n >= length:
-                    found.append((n, q, p))
-                    longest = max(longest, n)
-            if longest > 2 * length:
-                break
-        if longest > 2 * length:  # far longer than sought: search at that length first
-            length = longest
-            continue
-        for n, q, p in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_i[q : q + n].all() and free_t[p : p + n].all():
-                tiles.append((q, p, n))
-                free_i[q : q + n] = free_t[p : p + n] = False
-        if found:
-            # a match that lost words to a longer one may leave a shorter rest
-            if any(free_i[q : q + n].any() and free_t[p : p + n].any() for n, q, p in found) and length > least:
-                length = max(least, length - 1)
+        for p, h in zip(at[::-1].tolist(), hashes[::-1].tolist()):
+            where.setdefault(h, []).append(p)  # the first is taken last in
+        found = False
+        for q, h in zip(*(x.tolist() for x in free_windows(item, free_i, low))):
+            places = where.get(h)
+            if not places or not free_i[q : q + low].all():
                 continue
-        if length <= least:
-            return sorted(tiles)
-        length = max(least, length // 2)
+            while places:
+                p = places[-1]
+                if not free_t[p : p + low].all():
+                    places.pop()  # marked for good
+                elif (item[q : q + low] == text[p : p + low]).all():
+                    tiles.append((q, p, low))
+                    free_i[q : q + low] = free_t[p : p + low] = False
+                    found = True
+                    places.pop()
+                    break
+                else:
+                    break  # another text of the same hash
+        most = low if found else low - 1
+    return sorted(tiles)
 
 
 def match(block: Block, text: str) -> list[tuple[int, float, int, int]]:
