@@ -10,12 +10,16 @@ language of the lowest cross-entropy a character wins.
 Learning uses SAMPLE_DOCS documents about of each language, chosen by hash among
 the labelled training rows (crc32 of doc_id mod 3 is not 1); one in four of them
 calibrates the rejection: a text is rejected if its cross-entropy lies further
-above the language's mean than any calibration text does, by the factor SLACK,
-where deviations are taken in units of (0.05 + 1/sqrt(characters)).
+above the language's mean than the TAIL quantile of the calibration texts that the
+models give their own label, and as far again as that quantile is from the median,
+where deviations are taken in units of (0.05 + 1/sqrt(characters)).  So a few
+mislabelled or junk rows do not set the limit.
 
 A text that is null, empty or without a letter is `und`, score 0, rejected.
-With no labelled rows every text is.  Repeated rows give repeated rows; ties go
-to the language first in order of name.
+With no labelled rows every text is.  Texts are taken whole, whatever their length.
+Repeated rows give repeated rows; ties go to the language first in order of name.
+identify() replaces columns of the names it adds; keep() passes all columns,
+whatever their names; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -30,8 +34,7 @@ from . import common
 
 ORDER = 4
 SAMPLE_DOCS = 2_000
-MAX_LANGUAGES = 500  # by number of training rows
-SLACK = 1.25
+TAIL = 0.995
 LEAST_LIMIT = 8.0  # no calibration makes it stricter: half a nat a character for long texts
 CACHE_WORDS = 200_000
 CHUNK = 500_000  # characters that are cut into words at a time
@@ -207,7 +210,7 @@ def decide(models: Models, found: np.ndarray) -> dict:
         ce = row[:-1]
         best = int(ce.argmin())
         out["lang_pred"].append(models.langs[best])
-        out["score"].append(float(1 / np.exp(-(ce - ce[best]) * min(n, 200)).sum()))
+        out["score"].append(float(1 / np.exp(-(ce - ce[best]) * n).sum()))
         out["cross_entropy"].append(float(ce[best]))
         out["rejected"].append(bool((ce[best] - models.mean[best]) / (0.05 + n**-0.5) > models.limit[best]))
     return out
@@ -216,12 +219,9 @@ def decide(models: Models, found: np.ndarray) -> dict:
 def learn(docs: DataFrame) -> Models:
     """Train on the bounded sample of labelled rows outside the held-out third."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return Models({})
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1_000_000, SAMPLE_DOCS * 1_000_000 // r["count"] + 1)))])
     dice = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(4_000_000))
-    picked = rows.withColumn("_dice", dice).where(F.col("_dice") % 1_000_000 < share[F.col("lang")])
+    share = F.floor(F.lit(SAMPLE_DOCS * 1_000_000) / F.col("_rows")) + 1  # one row a language on this side
+    picked = rows.join(rows.groupBy("lang").agg(F.count("*").alias("_rows")), "lang").withColumn("_dice", dice).where(F.col("_dice") % 1_000_000 < share)
 
     def count(cols):
         by = defaultdict(Counter)
@@ -252,7 +252,7 @@ def learn(docs: DataFrame) -> Models:
         place = {lang: k for k, lang in enumerate(models_langs)}
         out = {"lang": [], "ce": [], "n": []}
         for row, lang in zip(found, cols[1]):
-            if row[-1] and lang in place:
+            if row[-1] and place.get(lang) == int(row[:-1].argmin()):
                 out["lang"].append(lang)
                 out["ce"].append(float(row[place[lang]]))
                 out["n"].append(float(row[-1]))
@@ -266,7 +266,8 @@ def learn(docs: DataFrame) -> Models:
             own = tested
         if len(own):
             models.mean[k] = (own["ce"] * own["n"]).sum() / own["n"].sum()
-            models.limit[k] = max(LEAST_LIMIT, SLACK * ((own["ce"] - models.mean[k]) / (0.05 + own["n"] ** -0.5)).max())
+            far = (own["ce"] - models.mean[k]) / (0.05 + own["n"] ** -0.5)
+            models.limit[k] = max(LEAST_LIMIT, 2 * far.quantile(TAIL) - far.median())
     return models
 
 
