@@ -6,8 +6,10 @@ Documents are grouped by that hash and the canonical bytes compared inside a
 group: where two different forms share a hash, the later ones (in byte order)
 get their rank appended.  So equal fingerprints mean equal canonical forms.
 
-Null text counts as empty.  Equal doc_ids keep all their rows; their order is by
-text.  An empty table gives an empty result; other columns are ignored.
+Null text counts as empty; texts are taken whole, whatever their length.  Equal
+doc_ids keep all their rows; their order is by text; rows without a doc_id come
+first.  An empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 from __future__ import annotations
 
@@ -70,45 +72,46 @@ def with_next(docs: DataFrame) -> DataFrame:
     The order is cut into slices at existing doc_ids.  The first rows of a slice
     are also dealt to the one before it, so no task sees more than its slice.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"))
     n = docs.count()
     if n == 0:
-        return docs.withColumn("next_text", F.lit(None).cast("string"))
+        return docs.drop("_id").withColumn("next_text", F.lit(None).cast("string"))
     k = max(1, n // SLICE_ROWS)
     # at most one bound for SLICE_ROWS documents; bounded for the driver by the parts of an even scale
     steps = [i / k for i in range(1, k)] if k <= 10_000 else [i / 10_000 for i in range(1, 10_000)]
-    bounds = sorted(set(docs.approxQuantile("doc_id", steps, 0.2 / k if k <= 10_000 else 2e-5))) if steps else []
-    first = docs.agg(F.min("doc_id")).head()[0]
+    bounds = sorted(set(docs.approxQuantile("_id", steps, 0.2 / k if k <= 10_000 else 2e-5))) if steps else []
+    first = docs.agg(F.min("_id")).head()[0]
     bounds = [int(b) for b in bounds if b > first]
-    order = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    order = _literal(bounds)
     # a bound's own row opens its slice and closes the one before
-    slot = F.expr("0").cast("int")
-    if bounds:
-        slot = _slot(docs, bounds)
+    slot = _slot(bounds) if bounds else F.lit(0)
     at = docs.withColumn("_slice", slot)
-    opens = F.array_contains(order, F.col("doc_id")) if bounds else F.lit(False)
+    opens = F.element_at(order, F.greatest(F.col("_slice"), F.lit(1))) == F.col("_id") if bounds else F.lit(False)
     last = len(bounds)
-    both = at.withColumn("_copies", F.when(F.col("doc_id") == first, F.array(F.struct(F.col("_slice"), F.lit(0).alias("late")), F.struct(F.lit(last).alias("_slice"), F.lit(2).alias("late"))))
+    both = at.withColumn("_copies", F.when(F.col("_id") == first, F.array(F.struct(F.col("_slice"), F.lit(0).alias("late")), F.struct(F.lit(last).alias("_slice"), F.lit(2).alias("late"))))
                          .when(opens, F.array(F.struct(F.col("_slice"), F.lit(0).alias("late")), F.struct((F.col("_slice") - 1).alias("_slice"), F.lit(1).alias("late"))))
                          .otherwise(F.array(F.struct(F.col("_slice"), F.lit(0).alias("late")))))
-    dealt = both.select("doc_id", "text", F.explode("_copies").alias("_c")).select("doc_id", "text", "_c._slice", "_c.late")
-    order_by = Window.partitionBy("_slice").orderBy("late", "doc_id", "text")
+    dealt = both.select("doc_id", "text", "_id", F.explode("_copies").alias("_c")).select("doc_id", "text", "_id", "_c._slice", "_c.late")
+    order_by = Window.partitionBy("_slice").orderBy("late", "_id", "text")
     return dealt.withColumn("next_text", F.lead("text").over(order_by)).where("late = 0").select("doc_id", "text", "next_text")
 
 
-def _slot(docs: DataFrame, bounds: list[int]) -> Column:
-    """The number of bounds <= doc_id, by a search tree of comparisons."""
-    c = F.col("doc_id")
-    if len(bounds) > 256:  # too large for generated code
-        return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= c))
+def _literal(numbers: list[int]) -> Column:
+    """One array literal, whatever its length."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def _slot(bounds: list[int]) -> Column:
+    """The number of bounds <= _id."""
+    c = F.col("_id")
+    # a binary search: each step of a power of two is taken if the bound there is not above
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    table = _literal(bounds)
+
+    def take(lo: Column, step: Column) -> Column:
+        return F.when((lo + step <= len(bounds)) & (F.element_at(table, F.least(lo + step, F.lit(len(bounds)))) <= c), lo + step).otherwise(lo)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), take)
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
