@@ -56,14 +56,14 @@ def collisions(forms: DataFrame) -> DataFrame | None:
     return apart.join(shared, "hash", "left_semi").withColumn("rank", rank)
 
 
-def fingerprints(df: DataFrame, source: str, to: str, known: DataFrame | None) -> DataFrame:
-    """Add the fingerprint of a column, apart where `known` lists its hash as shared."""
+def fingerprints(df: DataFrame, source: str, to: str, known: DataFrame | None, keep: str | None = None) -> DataFrame:
+    """Add the fingerprint of a column, apart where `known` lists its hash as shared; keep: a name for the canonical form."""
     hashed = canonical(df, source, "_form").withColumn(to, wide_hash(F.col("_form")))
     if known is not None:
         named = known.select(F.col("hash").alias(to), F.col("form").alias("_form"), "rank")
         hashed = hashed.join(named, [to, "_form"], "left")
         hashed = hashed.withColumn(to, F.when(F.col("rank") > 1, F.concat(to, F.lit("-"), "rank")).otherwise(F.col(to))).drop("rank")
-    return hashed.drop("_form")
+    return hashed.withColumnRenamed("_form", keep) if keep else hashed.drop("_form")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -133,14 +133,18 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def near_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and whether they agree (an exact digest: 1 or 0)."""
+    """Fingerprints of each document and of its edited text, and whether they agree (an exact digest: 1 or 0).
+
+    Likeness compares canonical bytes where fingerprints are equal, so a hash that
+    an edited text shares with another form is no likeness.
+    """
     docs = common.text_docs(docs)
     known = collisions(canonical(docs, "text", "form").withColumn("hash", wide_hash(F.col("form"))))
     rows = edited(docs)
     for source, to in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "_next")):
-        rows = fingerprints(rows, source, to, known)
+        rows = fingerprints(rows, source, to, known, keep=f"_form_{to}")
+    alike = lambda to: ((F.col("fingerprint") == F.col(to)) & (F.col("_form_fingerprint") == F.col(f"_form_{to}"))).cast("double")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
-        (F.col("fingerprint") == F.col("_next")).cast("double").alias("near_next"),
+        alike("edited_fingerprint").alias("near_edited"), alike("_next").alias("near_next"),
     )
