@@ -47,7 +47,11 @@ def test_round_trip(spark):
     rows = odd_pages()
     check_warc(spark.createDataFrame(rows, PAGES).repartition(3), rows)
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
-    assert warc.round_trip(spark.createDataFrame([(None, "u", "x")], PAGES)).count() == 0
+    big = rows[0][2]
+    lone = [(None, "u", "x"), (None, None, big), (None, "v", None), (None, "w", "z" * 2000), (None, "w", "z" * 2000), (2, "y", big)]
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(lone, PAGES)).collect())
+    n = len(big.encode())
+    assert got == [(0, 0, "response", None), (0, 1, "response", None), (0, n, "revisit", 2), (0, 2000, "response", None), (0, 2000, "response", None), (2, n, "response", None)]
 
 
 def test_round_trip_of_the_table(spark):

@@ -60,12 +60,12 @@ def oracle_sql() -> dict:
 
 
 OP6 = """
-with p as (select page_id, coalesce(html, '') as html from pages where page_id is not null),
+with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
-g as (select payload_digest, max(page_id) as holder, count(*) as n from d where payload_bytes >= 1000 group by 1)
+g as (select payload_digest, max(page_id) as holder, count(*) as n from d where payload_bytes >= 1000 group by 1 having max(page_id) is not null)
 select page_id, payload_bytes, payload_digest,
-  case when n > 1 and holder <> page_id then 'revisit' else 'response' end as record_type,
-  case when n > 1 and holder <> page_id then holder end as refers_to,
+  case when n > 1 and holder is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when n > 1 and holder is distinct from page_id then holder end as refers_to,
   true as has_request, 1::int as n_metadata
 from d left join g using (payload_digest)
 """

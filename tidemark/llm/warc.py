@@ -9,11 +9,14 @@ without its last line feed, which the sink adds.  Files are gzip.
 assemble() joins the records of a transaction through WARC-Concurrent-To and
 gives one nested row for each capture.
 
-A null html is an empty payload, a null url becomes urn:page:<page_id>, line
-breaks in a url are taken out.  Rows with a null page_id cannot be named in a
-record and are left out.  Repeated page_ids are captures of their own, numbered
-in order of url and payload; among equal payloads of the largest page_id the
-first is the response.  An empty table gives no archive and an empty result.
+A null html is an empty payload, a null url becomes urn:page:<page_id> (urn:page:
+without a page_id), line breaks in a url are taken out.  Rows with a null page_id
+get a record of their own number; they revisit a page that has their payload and a
+page_id, else they are responses.  Repeated page_ids are captures of their own,
+numbered in order of url and payload; among equal payloads of the largest page_id
+the first is the response.  Columns besides page_id, url and html are ignored,
+whatever their names.  A payload may be as long as a string; an empty table gives
+no archive and an empty result.
 """
 from __future__ import annotations
 
@@ -25,6 +28,7 @@ from . import common
 
 LEAST_REVISIT = 1000  # bytes of payload from which equal ones are revisits
 ROWS_A_FILE = 50_000
+NAMELESS = 0x10  # added to the kind in record ids of rows without a page_id
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
@@ -41,16 +45,17 @@ def record_id(kind: int, page_id: Column, nth: Column) -> Column:
 
 
 def page_of(record: Column) -> Column:
-    """The page_id in a record id that record_id() made."""
+    """The page_id in a record id that record_id() made; null for those of rows without one."""
     digits = F.regexp_extract(record, r"-([0-9a-f]{4})-([0-9a-f]{12})>$", 1), F.regexp_extract(record, r"-([0-9a-f]{4})-([0-9a-f]{12})>$", 2)
     number = F.conv(F.concat(*digits), 16, 10).cast("decimal(20,0)")
     wrapped = F.when(number >= F.lit(str(2**63)).cast("decimal(20,0)"), number - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(number)
-    return F.when(record.isNotNull(), wrapped.cast("long"))
+    return F.when(record.isNotNull() & ~record.startswith(f"<urn:uuid:{NAMELESS + 1:08x}-"), wrapped.cast("long"))
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, size, digest, nth, refers_page (null for responses), refers_nth."""
-    rows = pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    """page_id, url, html, size, digest, nth, refers_page (null for responses), number (of rows without a page_id)."""
+    every = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = every.where("page_id is not null")
     bare = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     # the response of each payload that comes more than once, by partial aggregation
     shared = bare.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -63,7 +68,12 @@ def marked(pages: DataFrame) -> DataFrame:
     by_page = Window.partitionBy("page_id").orderBy(F.coalesce(F.col("holder") == F.col("page_id"), F.lit(False)).desc(), "digest", "url")
     both = both.withColumn("nth", F.row_number().over(by_page) - 1).withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("nth")))
     revisits = F.col("holder").isNotNull() & ((F.col("holder") != F.col("page_id")) | (F.col("rank") > 1))
-    return both.withColumn("refers_page", F.when(revisits, F.col("holder"))).drop("rank", "shared_page", "holders", "holder")
+    named = both.withColumn("refers_page", F.when(revisits, F.col("holder"))).drop("rank", "shared_page", "holders", "holder")
+    # rows without a page_id are numbered by partition and refer to the largest page_id of their payload
+    holders = bare.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("refers_page"))
+    nameless = every.where("page_id is null").withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
+    nameless = nameless.withColumn("number", F.monotonically_increasing_id()).join(holders, "digest", "left")
+    return named.withColumn("number", F.lit(None).cast("long")).unionByName(nameless.withColumn("nth", F.lit(0)))
 
 
 def record(kind: str, rid: Column, fields: list[tuple[str, Column]], block: Column, end: str = "\r\n\r\n") -> Column:
@@ -76,8 +86,9 @@ def record(kind: str, rid: Column, fields: list[tuple[str, Column]], block: Colu
 
 def write(pages: DataFrame, path: str) -> None:
     """Write the archives of a pages table (page_id, url, html)."""
-    rows = marked(pages).withColumn("url", F.coalesce(F.regexp_replace("url", r"[\r\n]+", ""), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))))
-    rid, uri = record_id(1, F.col("page_id"), F.col("nth")), ("WARC-Target-URI", F.col("url"))
+    rows = marked(pages).withColumn("url", F.coalesce(F.regexp_replace("url", r"[\r\n]+", ""), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    ids = lambda kind: F.when(F.col("page_id").isNull(), record_id(NAMELESS + kind, F.col("number"), F.lit(0))).otherwise(record_id(kind, F.col("page_id"), F.col("nth")))
+    rid, uri = ids(1), ("WARC-Target-URI", F.col("url"))
     is_revisit = F.col("refers_page").isNotNull()
     # the response of a shared payload is its page's first occurrence with that digest; ids of the rest need none
     refers = F.when(is_revisit, record_id(1, F.col("refers_page"), F.lit(0)))
@@ -85,13 +96,13 @@ def write(pages: DataFrame, path: str) -> None:
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     typed = ("Content-Type", F.lit("application/http; msgtype=response"))
     get = F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n"))
-    facts = F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n"))
+    facts = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit("\r\n"))
     concurrent = ("WARC-Concurrent-To", rid)
     transaction = F.concat(
-        record("request", record_id(2, F.col("page_id"), F.col("nth")), [uri, concurrent, ("Content-Type", F.lit("application/http; msgtype=request"))], get),
+        record("request", ids(2), [uri, concurrent, ("Content-Type", F.lit("application/http; msgtype=request"))], get),
         F.when(is_revisit, record("revisit", rid, [uri, digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), typed], http))
         .otherwise(record("response", rid, [uri, digest, typed], F.concat(http, F.col("html")))),
-        record("metadata", record_id(3, F.col("page_id"), F.col("nth")), [uri, concurrent, ("Content-Type", F.lit("application/warc-fields"))], facts, "\r\n\r"),  # the sink ends the line
+        record("metadata", ids(3), [uri, concurrent, ("Content-Type", F.lit("application/warc-fields"))], facts, "\r\n\r"),  # the sink ends the line
     )
     lines = rows.select(transaction.alias("value"))
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", ROWS_A_FILE).text(path)
