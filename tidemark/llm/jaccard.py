@@ -4,10 +4,10 @@ Documents of equal shingle sets form a class.  Two sets that reach the threshold
 differ in at most k shingles, k by their size class; so if shingles are dealt to
 k + 1 + spare parts by hash, at least 1 + spare parts agree whole, and one of them
 is not empty if either set has `spare` empty parts at most.  Every class gives a
-signature of each part that is not empty, in its size class and the next, for
-spare = SPARE and then twice as many until its own empty parts are no more; of two
-sets, the one that stops first is dealt alike by the other, so candidate search is
-exact.  Candidates are linked to the smallest class of their signature only, and
+signature of each part that is not empty, in its size class and the next, for a
+number of spare parts that few sets exceed with empty ones, and then for twice as
+many until its own empty parts are no more; of two sets, the one that stops first
+is dealt alike by the other, so candidate search is exact.  Candidates are linked to the smallest class of their signature only, and
 what is connected so in one scheme (two size classes) is compared: members of a
 candidate group are cut into blocks of BLOCK, and each pair of blocks is a task
 that multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
@@ -22,6 +22,9 @@ empty result; other columns are ignored.
 """
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +93,23 @@ def class_of(n: int, percent: int) -> tuple[int, np.ndarray]:
     return int(np.searchsorted(ends, n)), ends
 
 
+@functools.cache
+def scheme_of(scheme: int, percent: int) -> tuple[int, int]:
+    """In how many shingles linked sets of a scheme differ at most, and spare parts that few of its sets leave empty."""
+    _, ends = class_of(1, percent)
+    while len(ends) <= scheme:
+        _, ends = class_of(int(ends[-1]) + 1, percent)
+    most, least = 2 * int(ends[scheme]) * (100 - percent) // (100 + percent), int(ends[scheme - 2]) + 1 if scheme > 1 else 1
+    spare = SPARE
+    while most and spare < 2 * most + 16:  # mean and deviation of the empty parts of its smallest sets
+        parts = most + 1 + spare
+        none = math.exp(-least / parts)
+        if parts * none + 2 * math.sqrt(parts * none * (1 - (1 + least / parts) * none)) <= spare:
+            break
+        spare += 1 + spare // 8
+    return most, spare
+
+
 def slots_of(set_id: np.ndarray, scheme: np.ndarray) -> np.ndarray:
     """What stands for a class in a scheme: a class has two, so groups never span more than two size classes."""
     return mix(set_id.view(np.uint64) + scheme.astype(np.uint64) * _P3).view(np.int64)
@@ -101,8 +121,7 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     out = []
     lo, hi = (s & np.uint64(0xFFFFFFFF)).astype(float), (s >> np.uint64(32)).astype(float)
     for scheme in (own, own + 1):
-        most = 2 * int(ends[scheme]) * (100 - percent) // (100 + percent)
-        spare = SPARE
+        most, spare = scheme_of(scheme, percent)
         while most:  # else only equal sets link, and they are one class
             parts = most + 1 + spare
             salt = mix(np.array([scheme + 1 + (spare << 32)], np.uint64))
