@@ -132,7 +132,7 @@ def test_missing_generation_is_refused(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s")
     apply(spark, s, [("a", "1")])
     s.flush()
-    shutil.rmtree(tmp_path / "s/gen/1")
+    shutil.rmtree(folder_of(tmp_path, 1))
     with pytest.raises(CorruptStore):
         Store(spark, f"file://{tmp_path}/s")
 
@@ -143,3 +143,134 @@ def test_key_predicates_reach_the_scan(spark, tmp_path):
     s.flush()
     plan = reads.scan(s.log(), "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key,a)" in plan and "LessThan(key,b)" in plan
+
+
+def folder_of(tmp_path, generation):
+    folder, = (tmp_path / "s/gen").glob(f"{generation}-*")
+    return folder
+
+
+def part_files(folder):
+    return sorted(p for p in folder.iterdir() if p.name.startswith("part-"))
+
+
+@pytest.mark.parametrize("harm", ["delete", "cut", "add", "flip"])
+def test_damaged_part_files_are_refused(spark, tmp_path, monkeypatch, harm):
+    from tidemark.plans import store
+
+    monkeypatch.setattr(store, "KEY_BUCKET_BYTES", 2_000)  # many part files
+    s = Store(spark, f"file://{tmp_path}/s", Options(1 << 30, 10, 10))
+    apply(spark, s, [(f"key-{k:05d}", "x" * 50) for k in range(2000)])
+    s.flush()
+    files = part_files(folder_of(tmp_path, 1))
+    assert len(files) > 1
+    if harm == "delete":
+        files[0].unlink()
+    elif harm == "cut":
+        files[0].write_bytes(files[0].read_bytes()[:-9])
+    elif harm == "add":
+        (files[0].parent / "part-x.parquet").write_bytes(files[0].read_bytes())
+    else:  # a byte of a data page: found when it is read
+        raw = bytearray(files[0].read_bytes())
+        raw[200] ^= 0x5A
+        files[0].write_bytes(raw)
+        (files[0].parent / f".{files[0].name}.crc").unlink()
+        with pytest.raises((CorruptStore, PySparkException)):
+            Store(spark, f"file://{tmp_path}/s").check()
+        return
+    with pytest.raises(CorruptStore):
+        Store(spark, f"file://{tmp_path}/s")
+
+
+def test_check_of_a_sound_store(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", Options(1 << 20, 10, 10))
+    apply(spark, s, [("a", "1"), ("b", None)])
+    s.flush()
+    apply(spark, s, [("c", "3")])
+    Store(spark, f"file://{tmp_path}/s").check()
+
+
+def test_readers_go_on_across_a_compaction(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    s = Store(spark, path, Options(1 << 20, 10, 10))
+    for k in range(3):
+        apply(spark, s, [(f"k{k}", "v")])
+        s.flush()
+    reader = Store(spark, path)
+    view = reader.view()
+    s.compact()
+    apply(spark, s, [("new", "v")])
+    assert {r["key"] for r in view.collect()} == {r["key"] for r in reader.view().collect()} == {"k0", "k1", "k2"}
+    s.retain = 0
+    apply(spark, s, [("newer", "v")])
+    assert [p.name.partition("-")[0] for p in (tmp_path / "s/gen").iterdir()] == ["4"]
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    one, two = Store(spark, path), Store(spark, path)
+    apply(spark, one, [("a", "1")])
+    with pytest.raises(CorruptStore):
+        apply(spark, two, [("a", "2")])
+    assert Store(spark, path).get("a") == "1"
+
+
+def test_a_torn_manifest_was_never_acknowledged(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    s = Store(spark, path)
+    apply(spark, s, [("a", "1")])
+    (tmp_path / "s/manifest/00000000000000000009.json").write_text('{"version": 9, "gen')
+    assert Store(spark, path).get("a") == "1"
+
+
+def test_buffered_writer(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", Options(1 << 20, 10, 10))
+    with s.writer() as w:
+        for k in range(500):
+            w.put(f"k{k}", "v")
+        w.erase("k7")
+        w.put("k8", "w")
+        with pytest.raises(InvalidArgument):
+            w.put("", "v")
+    assert s.state["sequence"] == 502 and s.state["batches"] == [1]
+    assert s.get("k7") is None and s.get("k8") == "w" and s.get("k499") == "v"
+
+
+def test_read_counters(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", Options(1 << 20, 10, 10))
+    for half in range(2):
+        apply(spark, s, [(f"present-{k}", "value") for k in range(100 * half, 100 * half + 100)])
+        s.flush()
+    apply(spark, s, [("staged", "v")])
+    asked = spark.createDataFrame([(f"{w}-{k}",) for w in ("present", "absent") for k in range(100)] + [("staged",)], "key string")
+    assert s.read_counted(asked).where("found").count() == 101
+    got = s.stats().head()
+    # absent keys ask both filters, those of the older half both, staged ones none
+    assert got["bloom_checks"] == 400 and 100 <= got["sstable_reads"] < 120
+    assert got["bloom_negative_hits"] == got["bloom_checks"] - got["sstable_reads"] and got["sstable_bytes_read"] > 0
+    assert got["table_metadata_bytes"] == 2 * (40 + 125) + sum(12 + len(k) for k in first_keys()) and got["sstable_count"] == 2 and got["memtable_entries"] == 1
+
+
+def first_keys():
+    """First keys of the blocks of the two generations above, by greedy packing."""
+    out = []
+    for half in range(2):
+        used = 1 << 30
+        for key in sorted(f"present-{k}" for k in range(100 * half, 100 * half + 100)):
+            size = 20 + len(key) + 5
+            if used + size > 4096:
+                out.append(key)
+                used = 0
+            used += size
+    return out
+
+
+def test_filters_joined_by_byte_are_the_same(spark, monkeypatch):
+    from tidemark.functions import bloom
+
+    entries = spark.createDataFrame([(g, f"k{k}") for g in (1, 2) for k in range(0, 300, g)], "generation long, key string")
+    keys = spark.createDataFrame([(f"k{k}",) for k in range(600)], "key string")
+    parts = bloom.filter_bytes(entries, 10)
+    few = sorted(map(tuple, bloom.membership(keys, parts).collect()))
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r[c] for c in ("generation", "key", "maybe")) for r in bloom.membership(keys, parts).collect()) == few

@@ -33,16 +33,19 @@ def erases(keys: DataFrame) -> DataFrame:
     return keys.withColumn("tombstone", F.lit(True)).withColumn("value", F.lit(""))
 
 
-def numbered(arrivals: DataFrame, base: int, *order) -> DataFrame:
+def numbered(arrivals: DataFrame, base: int, *order, held: list | None = None) -> DataFrame:
     """Give sequences base + 1, base + 2, ... in the stated order.
 
     Rows are sorted by range, numbered within their partition, and shifted by the
     sizes of the partitions before, so no task sees all rows.  The driver holds
-    one count for each partition.
+    one count for each partition.  The sorted rows are persisted; `held` gets the
+    frame to unpersist once the result is written.
     """
     spark = arrivals.sparkSession
     placed = arrivals.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     placed = placed.persist()  # the numbering and the counts must see the same partitions
+    if held is not None:
+        held.append(placed)
     shift, before = [], base
     for r in placed.groupBy("_part").count().orderBy("_part").collect():
         shift.append((r["_part"], before))
@@ -52,11 +55,6 @@ def numbered(arrivals: DataFrame, base: int, *order) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn("sequence", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
 
 
-def numbered_small(arrivals: DataFrame, base: int, *order) -> DataFrame:
-    """The same by one window; for a batch that fits one task."""
-    return arrivals.withColumn("sequence", F.lit(base) + F.row_number().over(Window.orderBy(*order)))
-
-
 def payload() -> Column:
     return (F.octet_length("key") + F.octet_length("value")).cast("long")
 

@@ -368,7 +368,7 @@ def bloom_hash(spark, sf_dir):
 def bloom_membership(spark, sf_dir):
     """Every key against every generation's filter; a key a generation holds is never denied."""
     entries = per_generation(spark, sf_dir)
-    found = bloom.membership(entries.select("key").distinct(), bloom.filters(entries, BITS))
+    found = bloom.membership(entries.select("key").distinct(), bloom.filter_bytes(entries, BITS))
     held = entries.select("generation", "key", F.lit(True).alias("held"))
     return found.join(held, ["generation", "key"], "left").fillna(False, ["held"])
 
