@@ -119,3 +119,58 @@ def test_stream_state_is_the_batch_view(spark, tmp_path):
     q = ingest.latest_state(ingest.changes(spark, str(tmp_path / "in"), 2)).writeStream.outputMode("complete").format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert newest == {"a": (5, True), "b": (4, False)} == {r["key"]: (r["sequence"], r["tombstone"]) for r in spark.sql("select * from whole").collect()}
+
+
+def sliced(monkeypatch):
+    """Frames of any size in many slices."""
+    from tidemark.operators import ranges
+
+    monkeypatch.setattr(ranges, "SLICE_BYTES", 400)
+    monkeypatch.setattr(layout, "SLICE_BLOCKS", 3)
+    monkeypatch.setattr(checks, "SLICE_ROWS", 17)
+    return ranges
+
+
+def test_slices_do_not_change_ranks_or_packing(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"k{n:05d}", n + 1, False, "x" * rng.choice([0, 10, 700, 1500, 4076, 5000]), 1 + n % 3) for n in range(400)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    want = {name: sorted(map(tuple, f(df).select("generation", "key", "block").collect())) for name, f in (("fold", layout.pack_blocks), ("fixed", lambda d: layout.fixed_blocks(d, 7)))}
+    ranges = sliced(monkeypatch)
+    assert len(ranges.bounds(df, "key")) > 5
+    assert sorted(map(tuple, layout.pack_blocks(df).select("generation", "key", "block").collect())) == want["fold"]
+    assert sorted(map(tuple, layout.fixed_blocks(df, 7).select("generation", "key", "block").collect())) == want["fixed"]
+    for g in (1, 2, 3):
+        own = sorted((r for r in rows if r[4] == g), key=lambda r: r[0])
+        firsts = codec.pack([20 + len(r[0]) + len(r[3]) for r in own])
+        assert [b for x, _, b in want["fold"] if x == g] == [sum(f <= n for f in firsts) - 1 for n in range(len(own))]
+
+
+def test_slices_do_not_change_lookups(spark, monkeypatch):
+    rows = [(f"k{n:04d}", n + 1, False, "v" * (n % 9), 1 + n % 2) for n in range(0, 600, 2)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    keys = spark.createDataFrame([(f"k{n:04d}",) for n in range(0, 620, 7)] + [("a",), ("z",)], "key string")
+
+    def all_of():
+        index = layout.sparse_index(layout.fixed_blocks(df, 5)).persist()
+        try:
+            return [sorted(map(tuple, x.collect())) for x in (layout.find_block(index, keys), layout.extents(index, 40).select("generation", "block", "offset", "end"),
+                    layout.overlapping(index, "k0100", "k0200").select("generation", "block"),
+                    checks.table_integrity(df.withColumn("position", F.pmod(F.col("sequence") * 7, F.lit(1009)))))]
+        finally:
+            index.unpersist()
+
+    want = all_of()
+    sliced(monkeypatch)
+    assert all_of() == want
+
+
+def test_slices_do_not_change_percentiles(spark, monkeypatch):
+    from tidemark.functions import stats
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    want = sorted(map(str, stats.floor_index(df, "g", "x", [0.5, 0.99]).collect()))
+    sliced(monkeypatch)
+    assert sorted(map(str, stats.floor_index(df, "g", "x", [0.5, 0.99]).collect())) == want

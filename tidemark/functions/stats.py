@@ -1,7 +1,7 @@
 """Latency percentiles and rates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,15 @@ def nearest_rank(value: str, percent: float) -> Column:
 def floor_index(samples: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
     """sorted[floor(p * (n - 1))] for each group: columns p<100p>.
 
-    Ranks come from a window and are compared with the group's size, so no group
-    is gathered into an array.
+    Ranks come slice by slice of the values and are compared with the group's size,
+    so no group is gathered into an array or into one task.
     """
-    whole = Window.partitionBy(by)
-    ranked = samples.select(by, value, (F.row_number().over(whole.orderBy(value)) - 1).alias("_k"), F.count("*").over(whole).alias("_n"))
+    from ..operators.ranges import ranked
+
+    sizes = samples.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    placed = ranked(samples.select(by, value), by, value, "_k").join(sizes, F.col(by).eqNullSafe(F.col("_by")))
     picks = [F.max(F.when(F.col("_k") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    return ranked.groupBy(by).agg(F.max("_n").alias("samples"), *picks)
+    return placed.groupBy(by).agg(F.max("_n").alias("samples"), *picks)
 
 
 def rate(count: Column, seconds: Column) -> Column:

@@ -5,9 +5,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import BLOCK_BYTES
+from . import ranges
 
 #: Fixed sizes of the interchange format: record header, table header, index entry, checksum.
 RECORD_HEADER, TABLE_HEADER, INDEX_ENTRY, CHECKSUM = 20, 40, 12, 4
+SLICE_BLOCKS = 1 << 20  # blocks of a slice
 
 
 def record_bytes() -> Column:
@@ -18,12 +20,22 @@ def pack_blocks(entries: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """key, sequence, ..., block, record_bytes: greedy packing of each generation in key order.
 
     A record opens a block if it would lift the current one above the limit; a
-    larger record has a block to itself.  That depends on all records before it,
-    so it is a fold over each generation, sorted by Spark and streamed: a worker
-    keeps a batch and two numbers, not a generation.
+    larger record has a block to itself.  That depends on all records before it, so
+    it is a fold, cut into slices of the key order: a slice first states for each
+    fill it may begin with how many blocks it opens and the fill it ends with (only
+    its first records tell these apart, so they are few); the statements are
+    chained; then every slice folds its rows as a stream from its known beginning.
     """
     sized = entries.withColumn("record_bytes", record_bytes())
-    dealt = sized.repartition("generation").sortWithinPartitions("generation", "key")
+    cuts = ranges.bounds(sized.select("generation", "key"), "key")
+    cut = sized.withColumn("_slice", ranges.slice_of(sized, "key", cuts))
+    if cuts:
+        cut = cut.join(_entries_of_slices(cut, limit), ["generation", "_slice"])
+    else:
+        cut = cut.withColumn("_used", F.lit(None).cast("long")).withColumn("_block", F.lit(-1).cast("long"))
+    dealt = cut.repartition("generation", "_slice").sortWithinPartitions("generation", "_slice", "key")
+
+    names = sized.columns
 
     def fold(batches):
         import pyarrow as pa
@@ -31,23 +43,75 @@ def pack_blocks(entries: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
         at, used, block = None, 0, -1
         for b in batches:
             out = []
-            for gen, size in zip(b.column("generation").to_pylist(), b.column("record_bytes").to_pylist()):
-                if gen != at:
-                    at, used, block = gen, size, 0
-                elif used + size > limit:
+            for gen, part, size, begin, before in zip(*(b.column(c).to_pylist() for c in ("generation", "_slice", "record_bytes", "_used", "_block"))):
+                if (gen, part) != at:
+                    at, used, block = (gen, part), begin, before
+                if used is None or used + size > limit:
                     used, block = size, block + 1
                 else:
                     used += size
                 out.append(block)
-            yield b.append_column("block", pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "block"])
 
     return dealt.mapInArrow(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", block long")
 
 
+def _entries_of_slices(cut: DataFrame, limit: int) -> DataFrame:
+    """generation, _slice, _used (null: nothing before), _block: the fill and the block a slice begins with."""
+    import pandas as pd
+
+    kind = cut.schema["generation"].dataType.simpleString()
+
+    def states(key, group):
+        """For each number `first` of records that may join an open block: blocks opened after them, and the last one's fill."""
+        import numpy as np
+
+        total = np.concatenate([[0], np.cumsum(group.sort_values("key")["record_bytes"].to_numpy())])
+        n, known = len(total) - 1, {}
+
+        def walk(i: int) -> tuple[int, int]:
+            path = []
+            while i < n and i not in known:
+                path.append(i)
+                i = max(i + 1, int(np.searchsorted(total, total[i] + limit, side="right")) - 1)
+            blocks, fill = known.get(i, (0, None))
+            for k in reversed(path):
+                blocks += 1
+                fill = int(total[n] - total[k]) if fill is None else fill
+                known[k] = (blocks, fill)
+            return blocks, fill
+
+        rows = []
+        for first in range(n + 1):
+            if total[first] > limit:
+                break
+            blocks, fill = walk(first) if first < n else (0, None)
+            rows.append((key[0], key[1], first, int(total[first]), int(total[first + 1]) if first < n else None, blocks, fill))
+        return pd.DataFrame(rows, columns=["generation", "_slice", "first", "joined", "over", "blocks", "fill"]).astype({"over": "Int64", "fill": "Int64"})
+
+    stated = cut.select("generation", "_slice", "key", "record_bytes").groupBy("generation", "_slice").applyInPandas(
+        states, f"generation {kind}, _slice int, first long, joined long, over long, blocks long, fill long")
+
+    def chain(key, group):
+        used, block, rows = None, -1, []
+        for part, own in group.groupby("_slice", sort=True):
+            rows.append((key[0], part, used, block))
+            for r in own.sort_values("first").itertuples():
+                if used is None or pd.isna(r.over) or used + r.over > limit:
+                    if pd.isna(r.over):  # all its records join the open block
+                        used = r.joined if used is None else used + r.joined
+                    else:
+                        used, block = int(r.fill), block + int(r.blocks)
+                    break
+        return pd.DataFrame(rows, columns=["generation", "_slice", "_used", "_block"]).astype({"_used": "Int64"})
+
+    return stated.groupBy("generation").applyInPandas(chain, f"generation {kind}, _slice int, _used long, _block long")
+
+
 def fixed_blocks(entries: DataFrame, size: int) -> DataFrame:
     """Blocks of a fixed number of entries in key order, for each generation."""
-    n = F.row_number().over(Window.partitionBy("generation").orderBy("key"))
-    return entries.withColumn("block", F.floor((n - 1) / size).cast("long"))
+    placed = ranges.ranked(entries, "generation", "key", "_rank")
+    return placed.withColumn("block", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
 def sparse_index(blocks: DataFrame) -> DataFrame:
@@ -56,18 +120,22 @@ def sparse_index(blocks: DataFrame) -> DataFrame:
 
 
 def extents(index: DataFrame, start: Column | int) -> DataFrame:
-    """Add offset and end of each block: running sums from the start of a table's records."""
-    order = Window.partitionBy("generation").orderBy("block")
-    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Add offset and end of each block: running sums from the start of a table's records, slice by slice of block numbers."""
+    cut = index.withColumn("_slice", F.floor(F.col("block") / SLICE_BLOCKS))
+    order = Window.partitionBy("generation", "_slice").orderBy("block")
+    here = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = ranges.before(cut.groupBy("generation", "_slice").agg(F.sum("bytes").alias("_n")), "generation", "_n").drop("_n")
     base = F.lit(start) if isinstance(start, int) else start
-    return index.withColumn("offset", base + before).withColumn("end", F.col("offset") + F.col("bytes"))
+    tied = cut.withColumn("_here", here).join(earlier, ["generation", "_slice"]).withColumn("offset", base + F.col("_before") + F.col("_here"))
+    return tied.select(*index.columns, "offset", (F.col("offset") + F.col("bytes")).alias("end"))
 
 
 def find_block(index: DataFrame, keys: DataFrame) -> DataFrame:
     """generation, key, block: the last block whose first key is not above the key, -1 before the first.
 
-    An as-of lookup by one sort: index entries and keys of a generation are merged
-    in key order, and the last entry's block is carried forward.
+    An as-of lookup by one sort within slices of the key order: index entries and
+    keys are merged, and the last entry's block is carried forward; into a slice
+    comes the last block of the slices before.
     """
     entries = index.select("generation", F.col("first_key").alias("key"), "block", F.lit(0).alias("_probe"))
     if "generation" in keys.columns:
@@ -76,17 +144,24 @@ def find_block(index: DataFrame, keys: DataFrame) -> DataFrame:
         generations = [r["generation"] for r in index.select("generation").distinct().orderBy("generation").collect()]
         probes = keys.select("key", F.explode(F.array(*map(F.lit, generations))).alias("generation")) if generations else keys.select("key", F.lit(0).alias("generation")).limit(0)
     both = entries.unionByName(probes.select("generation", "key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("_probe")))
-    order = Window.partitionBy("generation").orderBy("key", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("block", F.coalesce(F.last("block", ignorenulls=True).over(order), F.lit(-1)).cast("long"))
-    return found.where("_probe = 1").drop("_probe")
+    cuts = ranges.bounds(both.select("key"), "key")
+    both = both.withColumn("_slice", ranges.slice_of(both, "key", cuts))
+    order = Window.partitionBy("generation", "_slice").orderBy("key", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("block", F.last("block", ignorenulls=True).over(order))
+    if cuts:
+        tops = both.groupBy("generation", "_slice").agg(F.max("block").alias("_top"))
+        earlier = Window.partitionBy("generation").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.withColumn("_carried", F.max("_top").over(earlier)).drop("_top")
+        found = found.where("_probe = 1").join(carried, ["generation", "_slice"]).withColumn("block", F.coalesce("block", "_carried")).drop("_carried")
+    return found.where("_probe = 1").select("generation", "key", F.coalesce("block", F.lit(-1)).cast("long").alias("block"))
 
 
 def overlapping(index: DataFrame, begin: str, end: str) -> DataFrame:
-    """The blocks that may hold keys of [begin, end); an empty end is open."""
-    after = F.lead("first_key").over(Window.partitionBy("generation").orderBy("block"))
-    spans = index.withColumn("_next", after)
+    """The blocks that may hold keys of [begin, end); an empty end is open.  Block numbers have no gaps, so the next one is joined by number."""
+    after = index.select("generation", (F.col("block") - 1).alias("block"), F.col("first_key").alias("_next"))
+    spans = index.join(after, ["generation", "block"], "left")
     kept = spans.where(F.col("_next").isNull() | (F.col("_next") > F.lit(begin)))
-    return (kept.where(F.col("first_key") < F.lit(end)) if end else kept).drop("_next")
+    return (kept.where(F.col("first_key") < F.lit(end)) if end else kept).select(index.columns)
 
 
 def bloom_bytes(entries: Column, bits_per_key: int) -> Column:

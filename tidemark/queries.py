@@ -233,7 +233,7 @@ def flush_layout(spark, sf_dir):
 @query("select generation, key, sequence, tombstone, value from perg", MUT + GENERATIONS)
 def table_scan(spark, sf_dir):
     """All entries of every generation, tombstones included, in key order within each."""
-    return per_generation(spark, sf_dir).select("generation", "key", "sequence", "tombstone", "value").repartition("generation").sortWithinPartitions("generation", "key")
+    return per_generation(spark, sf_dir).select("generation", "key", "sequence", "tombstone", "value").repartitionByRange("generation", "key").sortWithinPartitions("generation", "key")
 
 
 @query("""select (select count(*) from latest) as memtable_entries, (select sum(strlen(key) + strlen(value))::bigint from latest) as memtable_bytes,
@@ -295,9 +295,13 @@ def discover_generations(spark, sf_dir):
 # --- layout
 
 
-@query(None)
+@query("""select generation, block, min(key) as first_key, count(*) as entries, sum(size)::bigint as bytes from fold group by 1, 2""", """recursive """ + MUT + GENERATIONS + """,
+sized as (select generation, key, 20 + strlen(key) + strlen(value) as size, row_number() over (partition by generation order by key) as n from perg),
+fold(generation, key, size, n, used, block) as (select generation, key, size, n, size, 0::bigint from sized where n = 1 union all
+  select s.generation, s.key, s.size, s.n, case when f.used + s.size > 4096 then s.size else f.used + s.size end, f.block + (f.used + s.size > 4096)::bigint
+  from fold f join sized s on s.generation = f.generation and s.n = f.n + 1)""")
 def block_packing(spark, sf_dir):
-    """Greedy 4096-byte blocks: a fold, so beyond plain SQL; tests hold it against a loop."""
+    """Greedy 4096-byte blocks."""
     packed = layout.pack_blocks(per_generation(spark, sf_dir))
     return packed.groupBy("generation", "block").agg(F.min("key").alias("first_key"), F.count("*").alias("entries"), F.sum("record_bytes").alias("bytes"))
 
@@ -341,9 +345,13 @@ def table_metadata_bytes(spark, sf_dir):
     return layout.sizes(blocks(spark, sf_dir), BITS).agg(F.sum("metadata_bytes").alias("metadata_bytes"))
 
 
-@query(None)
+@query("""select (row_number() over (order by n, c))::int as event, kind, generation::int as generation from (
+  select n, 0 as c, 'flush' as kind, generation - compacted::int as generation from run where flushed union all select n, 1, 'compact', generation from run where compacted)""", """recursive
+run(n, used, generation, tables, flushed, compacted) as (select -1, 0, 0, 0, false, false union all
+  select n + 1, case when full_ then 0 else size end, generation + full_::int + (full_ and tables + 1 >= 4)::int, case when full_ and tables + 1 >= 4 then 1 else tables + full_::int end, full_, full_ and tables + 1 >= 4
+  from (select *, used + 90 + (n + 1) % 21 as size, used + 90 + (n + 1) % 21 >= 1024 as full_ from run where n < 199))""")
 def generation_schedule(spark, sf_dir):
-    """Flushes and compactions of a run of 200 distinct keys of 90 to 110 bytes: a driver policy, held against a loop in tests."""
+    """Flushes and compactions of a run of 200 distinct keys of 90 to 110 bytes."""
     events = layout.flush_schedule([90 + k % 21 for k in range(200)], 1024, 4)
     return spark.createDataFrame(events, "event int, kind string, generation int")
 
@@ -364,7 +372,22 @@ def bloom_hash(spark, sf_dir):
     return keys.withColumn("hash", bloom.hash_text(F.col("key")))
 
 
-@query(None)
+HASHES = GENERATIONS + """,
+word(m) as (select 18446744073709551616::uhugeint),
+hashed as (select generation, key, list_reduce(list_transform(range(0, length(key) + 1), lambda i: case when i = 0 then 1469598103934665603::uhugeint else ord(key[i])::uhugeint end),
+  lambda h, c: (xor(h, c) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as h from perg),
+one as (select *, (xor(h, h // 1073741824::uhugeint) * 13787848793156543929::uhugeint) % m as f1 from hashed, word),
+two as (select *, (xor(f1, f1 // 134217728::uhugeint) * 10723151780598845931::uhugeint) % m as f2 from one),
+three as (select generation, key, h, m, xor(f2, f2 // 2147483648::uhugeint) as f3 from two),
+probe as (select generation, key, i, ((h + i::uhugeint * (f3 + 1 - f3 % 2)) % m) as pos from three, range(6) t(i)),
+shape as (select generation, greatest(64, count(*) * 10)::uhugeint as bits from perg group by 1),
+body as (select distinct p.generation, p.pos % s.bits as bit from probe p join shape s on p.generation = s.generation),
+asked as (select distinct key, i, pos from probe),
+found as (select s.generation, a.key, bool_and(b.bit is not null) as maybe from asked a cross join shape s left join body b on b.generation = s.generation and b.bit = a.pos % s.bits group by 1, 2),
+member as (select f.*, p.key is not null as held from found f left join perg p on p.generation = f.generation and p.key = f.key)"""
+
+
+@query("select generation, key, maybe, held from member", MUT + HASHES)
 def bloom_membership(spark, sf_dir):
     """Every key against every generation's filter; a key a generation holds is never denied."""
     entries = per_generation(spark, sf_dir)
@@ -373,15 +396,18 @@ def bloom_membership(spark, sf_dir):
     return found.join(held, ["generation", "key"], "left").fillna(False, ["held"])
 
 
-@query(None)
+@query("select generation, count(*) as checks, count(*) filter (not maybe) as negatives, count(*) filter (maybe and not held) as false_positives from member group by 1", MUT + HASHES)
 def bloom_stats(spark, sf_dir):
     """Checks, negatives and false positives of each generation's filter over the keys of all."""
     return bloom_membership(spark, sf_dir).groupBy("generation").agg(
         F.count("*").alias("checks"), F.count_if(~F.col("maybe")).alias("negatives"), F.count_if(F.col("maybe") & ~F.col("held")).alias("false_positives"))
 
 
-@query(None)
+@query("""select key, sequence, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(key || '=' || value) + 1), lambda i: ord((key || '=' || value)[i])::ubigint)),
+  lambda c, b: xor(c // 256, tb[(xor(c, b) % 256 + 1)::int])), 4294967295::ubigint)::bigint as crc from mut, (select list(t order by i) as tb from tab)""", MUT + """,
+tab as (select i, list_reduce([i::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end) as t from range(256) r(i))""")
 def crc32(spark, sf_dir):
+    """Checksums of key=value; the tables' texts are ASCII."""
     return mut(spark, sf_dir).select("key", "sequence", F.crc32(F.encode(F.concat("key", F.lit("="), "value"), "UTF-8")).alias("crc"))
 
 
@@ -437,9 +463,14 @@ def workload_mix(spark, sf_dir):
     return workload.mix(ops)
 
 
-@query(None)
+def _draw(salt: int, n: int) -> str:
+    return f"(((sequence * 48271 + {salt}::bigint * 69621) % 2147483647 * 16807 % 2147483647 * 48271 % 2147483647) // 7 % {n})"
+
+
+@query(f"""select sequence, op, lpad(cast(k as varchar), 20, '0') as key, case when op = 'write' then repeat('x', 16) end as value from (
+  select sequence, case when {_draw(20260728, 1_000_000)} < 900000 then 'write' else 'read' end as op, {_draw(20260729, 1000)} as k from range(1, 5001) t(sequence))""", "")
 def workload_operations(spark, sf_dir):
-    """A generated operation stream by hash draws; counts are checked in tests."""
+    """A generated operation stream by seeded draws."""
     return workload.operations(spark, 5000, 0.9, 1000, 16, 20260728)
 
 
