@@ -174,3 +174,32 @@ def test_slices_do_not_change_percentiles(spark, monkeypatch):
     want = sorted(map(str, stats.floor_index(df, "g", "x", [0.5, 0.99]).collect()))
     sliced(monkeypatch)
     assert sorted(map(str, stats.floor_index(df, "g", "x", [0.5, 0.99]).collect())) == want
+
+
+def test_metric_lines_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([(10, 80, 2)], "acknowledged long, sequence long, sstables long")
+    files.write_metrics(df, str(tmp_path / "m"))
+    line = spark.read.text(str(tmp_path / "m"))
+    assert line.head()["value"] == "acknowledged=10 sequence=80 sstables=2"
+    assert line.select(files.metrics(F.col("value")).alias("m")).head()["m"] == {"acknowledged": 10, "sequence": 80, "sstables": 2}
+    files.write_csv(df, str(tmp_path / "c"))
+    assert [tuple(r) for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "c")).collect()] == [(10, 80, 2)]
+    rows = spark.createDataFrame([("mixed", 12.345, 7), ("a name that is long", None, 100000)], "run string, rate double, n int")
+    got = [r["value"] for r in files.fixed_width(rows, {"run": 8, "rate": 7, "n": 4}).orderBy("n").collect()]
+    assert got == ["run         rate    n", "mixed       12.3    7", "a name that is long       - 100000"]
+
+
+def test_workload_report_and_reader_scaling(spark, tmp_path):
+    from tidemark import Options
+    from tidemark.plans import reports
+    from tidemark.plans.store import Store
+
+    s = Store(spark, f"file://{tmp_path}/s", Options(1000, 10, 4))
+    report = workload.run(s, 200, 0.5, 50, 20, samples=4)
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/mixed__bloom_10.json").write_text(workload.report_text(report))
+    row = reports.summary(files.read_reports(spark, str(tmp_path / "r"))).head()
+    assert row["run"] == "mixed" and row["value"] == 10 and row["sstable_count"] == 1
+    assert all(row[c] > 0 for c in ("total_ops_per_second", "read_latency_us_p99", "write_latency_us_p99", "bloom_checks", "database_size_bytes"))
+    table = workload.reader_scaling(s, ["00000000000000000001", "absent"], 4, (1, 2))
+    assert [(r["readers"], r["reads"]) for r in table.collect()] == [(1, 4), (2, 4)] and table.where("p99_us < p50_us").isEmpty()

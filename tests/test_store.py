@@ -274,3 +274,13 @@ def test_filters_joined_by_byte_are_the_same(spark, monkeypatch):
     few = sorted(map(tuple, bloom.membership(keys, parts).collect()))
     monkeypatch.setattr(bloom, "BROADCAST_BYTES", 0)
     assert sorted(tuple(r[c] for c in ("generation", "key", "maybe")) for r in bloom.membership(keys, parts).collect()) == few
+
+
+def test_many_requests_are_the_same_as_few(spark, monkeypatch):
+    log = spark.createDataFrame([("a", 1, False, "x"), ("a", 2, False, "y"), ("b", 3, False, "z"), ("b", 4, True, ""), ("c", 5, False, ""), ("d", 6, False, "unasked")],
+                                "key string, sequence long, tombstone boolean, value string")
+    keys = spark.createDataFrame([(k,) for k in ["a", "a", "a", "b", "c", "none", "none"] + ["c"] * 10], "key string")
+    want = sorted(map(str, reads.multi_get(log, keys).collect()))
+    monkeypatch.setattr(reads, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(reads, "REPEATS", 4)
+    assert sorted(map(str, reads.multi_get(log, keys).collect())) == want and len(want) == 17

@@ -8,6 +8,7 @@ from ..model import check_range
 from .reconcile import latest_wins, live, view
 
 BROADCAST_KEYS = 200_000  # requested keys up to which they are sent to the scan
+REPEATS = 1 << 16
 
 
 def get(log: DataFrame, key) -> DataFrame:
@@ -24,15 +25,23 @@ def lookup(log: DataFrame, key) -> DataFrame:
 def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     """key, found, value for each requested key.
 
-    The log is reduced to the requested keys before it is reconciled: Catalyst
-    leaves a semi-join above the aggregate.  Keys are broadcast only if counting
-    shows few of them; otherwise both sides are dealt by key once.
+    Keys are broadcast only if counting shows few of them; the log is then reduced
+    to them before it is reconciled, since Catalyst leaves a semi-join above the
+    aggregate.  Otherwise requests and log are one stream that is dealt by key once:
+    a partial aggregate counts the requests of a key and keeps its newest version.
     """
     asked = keys.select("key")
-    few = asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    wanted = F.broadcast(asked.distinct()) if few else asked.distinct()
-    hits = live(latest_wins(log.join(wanted, "key", "left_semi"))).withColumn("found", F.lit(True))
-    return asked.join(hits, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"), "value")
+    if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        hits = live(latest_wins(log.join(F.broadcast(asked.distinct()), "key", "left_semi"))).withColumn("found", F.lit(True))
+        return asked.join(hits, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"), "value")
+    requests = asked.select("key", F.lit(1).cast("long").alias("_asked"), *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in ("sequence", "tombstone", "value")])
+    both = requests.unionByName(log.select("key", F.lit(0).cast("long").alias("_asked"), "sequence", "tombstone", "value"))
+    newest = both.groupBy("key").agg(F.sum("_asked").alias("_asked"), F.max_by(F.struct("tombstone", "value"), "sequence").alias("_v")).where("_asked > 0")
+    held = newest.select("key", F.coalesce(~F.col("_v.tombstone"), F.lit(False)).alias("found"), F.when(~F.col("_v.tombstone"), F.col("_v.value")).alias("value"), "_asked")
+    # a key is given out as often as it was asked for, in two steps, so no array is long
+    chunks = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_asked") - 1) / REPEATS))).alias("_c"))
+    each = chunks.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS).cast("long"), F.col("_asked") - F.col("_c") * REPEATS))))
+    return each.select("key", "found", "value")
 
 
 def in_range(df: DataFrame, begin, end) -> DataFrame:

@@ -129,6 +129,37 @@ def metrics(text):
     return F.map_from_entries(F.transform(tokens, lambda t: F.struct(F.substring_index(t, "=", 1), F.regexp_replace(t, "^[^=]*=", "").cast("long"))))
 
 
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """One line of `name=value` tokens for each row, in order of its columns; what metrics() reads."""
+    tokens = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in rows.columns]
+    rows.select(F.concat_ws(" ", *tokens).alias("value")).write.mode("append").text(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table with a header line in each file, such as the reader-scaling results."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def fixed_width(rows: DataFrame, widths: dict[str, int], digits: int = 1) -> DataFrame:
+    """value: lines of columns padded to their widths, text to the left, numbers to the right and rounded; longer texts are not cut.
+
+    The header is a line of its own, with line number 0 in the column `n`; rows keep no order but by `n`.
+    """
+    kinds = dict(rows.dtypes)
+
+    def cell(c: str):
+        text = F.format_string(f"%.{digits}f", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+        text = F.when(F.col(c).isNull(), "-").otherwise(text)
+        padded = F.rpad(text, widths[c], " ") if kinds[c] == "string" else F.lpad(text, widths[c], " ")
+        return F.when(F.char_length(text) > widths[c], text).otherwise(padded)
+
+    names = list(widths)
+    head = " ".join(c.ljust(widths[c]) if kinds[c] == "string" else c.rjust(widths[c]) for c in names)
+    header = rows.sparkSession.createDataFrame([(0, head.rstrip())], "n long, value string")
+    body = rows.select((F.monotonically_increasing_id() + 1).alias("n"), F.rtrim(F.concat_ws(" ", *map(cell, names))).alias("value"))
+    return header.unionByName(body)
+
+
 REPORT = (
     "workload string, config struct<ops:bigint,write_ratio:double,key_space:bigint,value_size:bigint,preload:bigint,seed:bigint>, "
     "options struct<memtable_bytes:bigint,bloom_bits_per_key:bigint,compaction_trigger:bigint,sync_writes:boolean>, "
