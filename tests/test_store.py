@@ -284,3 +284,62 @@ def test_many_requests_are_the_same_as_few(spark, monkeypatch):
     monkeypatch.setattr(reads, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(reads, "REPEATS", 4)
     assert sorted(map(str, reads.multi_get(log, keys).collect())) == want and len(want) == 17
+
+
+def test_a_stream_fills_a_store(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    path, rows = f"file://{tmp_path}/s", [("a", 1, False, "x" * 30), ("b", 2, False, "y"), ("a", 5, True, ""), ("c", 6, False, "z" * 40)]
+    for r in rows[:3]:
+        spark.createDataFrame([r], "key string, sequence long, tombstone boolean, value string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = Store(spark, path, Options(30, 10, 4))
+    ingest.to_store(ingest.changes(spark, str(tmp_path / "in"), 1), s, str(tmp_path / "c")).awaitTermination()
+    assert s.state["streams"] == {"stream": 2} and s.state["generations"] and s.get("b") == "y"
+    spark.createDataFrame(rows[3:], "key string, sequence long, tombstone boolean, value string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = Store(spark, path, Options(30, 10, 4))  # restarted from the checkpoint: only the new file comes
+    ingest.to_store(ingest.changes(spark, str(tmp_path / "in"), 1), again, str(tmp_path / "c")).awaitTermination()
+    assert again.state["streams"] == {"stream": 3} and again.state["sequence"] == 4 and again.get("c") == "z" * 40
+    # a batch whose acknowledgement the checkpoint lost comes again and changes nothing
+    import shutil
+
+    shutil.rmtree(tmp_path / "c")
+    ingest.to_store(ingest.changes(spark, str(tmp_path / "in"), 1), again, str(tmp_path / "c")).awaitTermination()
+    assert again.state["sequence"] == 4
+
+
+def test_a_killed_writer_loses_nothing_acknowledged(spark, tmp_path):
+    """Rounds of a process that is killed while it writes; what it printed as acknowledged is there."""
+    import os
+    import signal
+    import subprocess
+    import sys
+    import time
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from tidemark import Options
+from tidemark.plans.store import Store
+s = Store(spark, "file://{tmp_path}/s", Options(60, 10, 3))
+while True:
+    n = s.state["sequence"] + 1
+    s.put(f"crash-key-{{n}}", f"crash-value-{{n}}")
+    print(f"ACK {{n}}", flush=True)
+"""
+    acked: set[int] = set()
+    for wait in (3, 5):
+        with open(tmp_path / "out", "w") as out:
+            p = subprocess.Popen([sys.executable, "-c", code], stdout=out, stderr=subprocess.DEVNULL, start_new_session=True)
+        began = time.time()
+        while time.time() - began < 90 and (tmp_path / "out").read_text().count("ACK") < wait:
+            time.sleep(0.3)
+        os.killpg(p.pid, signal.SIGKILL)
+        p.wait()
+        acked |= {int(line.split()[1]) for line in (tmp_path / "out").read_text().splitlines() if line.startswith("ACK")}
+        s = Store(spark, f"file://{tmp_path}/s", Options(60, 10, 3))
+        s.check()
+        held = {r["key"]: r["value"] for r in s.scan().collect()}
+        assert {n for n in acked if held.get(f"crash-key-{n}") != f"crash-value-{n}"} == set() and s.state["sequence"] >= max(acked)
+    assert len(acked) >= 8

@@ -169,11 +169,11 @@ class Store:
     def erase_many(self, keys: DataFrame, *order) -> None:
         self.apply(mutate.erases(keys), *order)
 
-    def apply(self, mutations: DataFrame, *order) -> None:
+    def apply(self, mutations: DataFrame, *order, **also) -> None:
         """Append key, value, tombstone rows in a stated order (by key if none is), then flush if the log is full.
 
         A batch that breaks a limit changes nothing.  The manifest is the
-        acknowledgement.
+        acknowledgement; `also` is noted in it, such as the position of a stream.
         """
         held: list[DataFrame] = []
         numbered = mutate.numbered(mutate.checked(mutations), self.state["sequence"], *(order or ("key",)), held=held).select(*MUTATION.names)
@@ -188,9 +188,11 @@ class Store:
         rows, top, size = self._read([name]).agg(F.count("*"), F.max("sequence"), F.sum(mutate.payload())).head()
         if top is None:
             self.files.delete(name)
+            if also:
+                self._commit(**also)
             return
         # the bytes of all staged versions bound those of the current ones: these are only counted once the bound is passed
-        self._commit(sequence=top, next_batch=batch + 1, batches=[*self.state["batches"], batch], folders=self._noted(f"log/{batch}", name, rows), staged_bytes=self.state["staged_bytes"] + size)
+        self._commit(sequence=top, next_batch=batch + 1, batches=[*self.state["batches"], batch], folders=self._noted(f"log/{batch}", name, rows), staged_bytes=self.state["staged_bytes"] + size, **also)
         if self.state["staged_bytes"] >= self.options.memtable_bytes:
             current = self.memtable().head()["bytes"]
             if current >= self.options.memtable_bytes:

@@ -609,12 +609,12 @@ def crash_highwater(spark, sf_dir):
 @query("select key, sequence, tombstone, value from latest")
 def stream_latest(spark, sf_dir):
     """The changelog taken in by a stream as generations, then reconciled."""
-    import tempfile
+    import uuid
 
     from .model import MUTATION
     from .streaming import ingest
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/") + f"/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    root = f"{ingest.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     mut(spark, sf_dir).select(*MUTATION.names).repartition(4, "sequence").write.mode("overwrite").parquet(f"{root}/in")
     ingest.to_generations(ingest.changes(spark, f"{root}/in", 1), f"{root}/out", f"{root}/check").awaitTermination()
     return reconcile.latest_wins(ingest.generations(spark, f"{root}/out"))

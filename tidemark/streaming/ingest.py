@@ -15,6 +15,19 @@ from ..model import MUTATION
 from ..operators.reconcile import latest_wins
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a local one only where none is named and the master is local."""
+    import tempfile
+
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return root.rstrip("/")
+
+
 def changes(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """New Parquet files of mutations below a path."""
     reader = spark.readStream.schema(MUTATION)
@@ -37,6 +50,20 @@ def to_generations(stream: DataFrame, target: str, checkpoint: str) -> Streaming
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_store(stream: DataFrame, store, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Each micro-batch is appended to a store's log, in order of `sequence`; the store flushes by size and compacts by its trigger.
+
+    The store takes sequences of its own.  A batch run again after a failure is
+    passed over: the manifest that acknowledged it names it as the stream's last.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        if store.state.get("streams", {}).get(name, -1) < batch_id:
+            store.apply(batch.select("key", "value", "tombstone", "sequence"), "sequence", streams=store.state.get("streams", {}) | {name: batch_id})
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def generations(spark: SparkSession, target: str) -> DataFrame:
     """All versions of a folder that to_generations() keeps."""
     return spark.read.schema(MUTATION).option("recursiveFileLookup", "true").parquet(target)
