@@ -392,6 +392,17 @@ def test_contamination_is_as_by_definition(spark):
     assert got == pytest.approx(want) and len(want) > 20
 
 
+def test_columns_of_any_name_pass(spark, no_docs):
+    text = "the only text of this table that has as many words as this one has"
+    df = spark.createDataFrame([(1, text, None, True, False, "x", [1]), (1, text, None, True, False, "x", [1])], "doc_id long, text string, lang string, _rejected boolean, _contaminated boolean, _Host string, ids array<int>")
+    bench = spark.createDataFrame([(1, "nothing of that")], "item_id long, text string")
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and [r["_contaminated"] for r in kept.collect()] == [False, False]
+    assert langid.keep(df).columns == df.columns and pii.redact(df).collect()[0]["_rejected"]
+    encoded = bpe.encode(df, TOKENIZER)
+    assert encoded.columns == df.columns and len(encoded.head()["ids"]) > 5
+
+
 def test_benchmark_passages(spark, corpus):
     from .conftest import SF
 

@@ -214,6 +214,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     for block in blocks(benchmark):
         shared = common.Shared(spark, block)
-        flag = lambda texts, shared=shared: {"_contaminated": [bool(t and match(shared.get(), t)) for t in texts]}
-        docs = common.extend(docs, "text", flag, "_contaminated boolean").where("not _contaminated").drop("_contaminated")
+        name = common.unused(docs, "_contaminated")
+        flag = lambda texts, shared=shared, name=name: {name: [bool(t and match(shared.get(), t)) for t in texts]}
+        docs = common.extend(docs, "text", flag, f"{name} boolean").where(~F.col(name)).drop(name)
     return docs
