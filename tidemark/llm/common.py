@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,10 @@ def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass releases names more in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 @contextlib.contextmanager

@@ -9,11 +9,12 @@ number of spare parts that few sets exceed with empty ones, and then for twice a
 many until its own empty parts are no more; of two sets, the one that stops first
 is dealt alike by the other, so candidate search is exact.  Candidates are linked to the smallest class of their signature only, and
 what is connected so in one scheme (two size classes) is compared: members of a
-candidate group are cut into blocks of BLOCK, and each pair of blocks is a task
-that multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
-columns, and keeps the pairs that reach the size-derived bound.  A task gives out
-a spanning forest of its links, so no link between components is lost and no
-group is written as all its pairs.
+candidate group are cut into blocks of BLOCK, and a pair of blocks is a task that
+multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
+columns, and keeps the pairs that reach the size-derived bound.  Pairs of classes
+that earlier tasks have connected are not compared.  A task gives out a spanning
+forest of its links, so no link between components is lost and no group is written
+as all its pairs.
 
 Null or wordless texts have an empty set, link with nothing and are their own
 component.  Texts are taken whole, whatever their length.  Repeated rows and ties
@@ -251,13 +252,11 @@ def slots(sets: DataFrame, percent: int) -> DataFrame:
     return common.map_rows(sets.select("set_id", "n_shingles").distinct(), fn, "node long, set_id long")
 
 
-def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each candidate group, block pair by block pair."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = groups.join(sizes, "component").join(slots(sets, percent), "node").groupBy("set_id").agg(F.collect_list(F.struct("component", blocks.alias("blocks"))).alias("groups"))
-    least = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))  # one document stands for its class
-    stands = least.join(members, "set_id").select("doc_id", "set_id", "groups")
+def gathered(docs: DataFrame, sets: DataFrame, members: DataFrame, words: int, seed: int) -> DataFrame:
+    """component, blocks, set_id, shingles of members (component, blocks, set_id), made from one document of each class."""
+    least = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    by_set = members.groupBy("set_id").agg(F.collect_list(F.struct("component", "blocks")).alias("groups"))  # two at most
+    stands = least.join(by_set, "set_id").select("doc_id", "set_id", "groups")
     # doc_id may repeat with other texts: the set id is checked again
     texts = docs.join(stands, "doc_id")
 
@@ -271,17 +270,11 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
         return out
 
     arrays = common.map_rows(texts.select("text", "set_id", "groups"), gather, "set_id long, groups array<struct<component:long,blocks:int>>, shingles binary")
-    arrays = arrays.select("set_id", "shingles", F.explode("groups").alias("_g")).select("set_id", "shingles", "_g.component", "_g.blocks")
-    tasks = max(1, groups.count() // SMALL_ROWS)
-    own = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")
-    # block pairs (own, other), and all small groups of a hash together
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("x"), F.lit(-1).alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    )
-    dealt = arrays.withColumn("own", own).withColumn("_p", F.explode(pairs)).select(
-        "component", "set_id", "shingles", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("task"),
-        F.col("_p.x").alias("x"), F.col("_p.y").alias("y"),
-    )
+    return arrays.select("set_id", "shingles", F.explode("groups").alias("_g")).select("_g.component", "_g.blocks", "set_id", "shingles")
+
+
+def products(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: spanning forests of the links among the sets of each task (task, x, y), component by component."""
 
     def product(group):
         import pandas as pd
@@ -292,7 +285,48 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
             out += linked(part["set_id"].tolist(), [np.frombuffer(b, np.uint64) for b in part["shingles"]], percent)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("task", "x", "y").applyInPandas(product, "a long, b long")
+    return dealt.select("component", "set_id", "shingles", "task", "x", "y").groupBy("task", "x", "y").applyInPandas(product, "a long, b long")
+
+
+def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """a, b: links that connect all linked classes of each candidate group, block pair by block pair.
+
+    A group of one block is a task's.  In a larger one every block is first compared
+    with block 0, which takes two copies of the group; classes that are connected so
+    need no comparison among themselves, so then only those outside the group's main
+    cluster are compared, with all.
+    """
+    spark = docs.sparkSession
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    sizes = groups.groupBy("component").agg(blocks.alias("blocks"))
+    members = common.saved(groups.join(sizes, "component").join(slots(sets, percent), "node").select("component", "blocks", "set_id"), "members")
+    tasks = max(1, groups.count() // SMALL_ROWS)
+    small = gathered(docs, sets, members.where("blocks = 1"), words, seed)
+    small = small.withColumns({"task": F.pmod(F.xxhash64("component"), F.lit(tasks)), "x": F.lit(-1), "y": F.lit(-1)})
+    forest = common.saved(products(small, percent), "links")
+    common.free(spark)
+    many = members.where("blocks > 1")
+    if many.isEmpty():
+        return forest
+    own = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")
+    arrays = common.saved(gathered(docs, sets, many, words, seed).withColumn("own", own), "arrays")
+    common.free(spark)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.when(F.col("own") == 0, F.when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).otherwise(F.array("own"))
+    first = arrays.withColumn("y", F.explode(others)).withColumn("x", F.lit(0)).withColumn("task", F.col("component"))
+    found = common.saved(products(first, percent), "links")
+    common.free(spark)
+    clusters = components(found).withColumnRenamed("component", "cluster")
+    placed = many.join(clusters, F.col("set_id") == F.col("node"), "left").select("component", "set_id", F.coalesce("cluster", "set_id").alias("cluster"))
+    main = placed.groupBy("component", "cluster").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+    rest = placed.join(main, "component").where("cluster <> main").select("component", "set_id")
+    rests = rest.groupBy("component").agg(blocks.alias("rests"))
+    left = arrays.join(rest, ["component", "set_id"]).join(rests, "component")
+    left = left.withColumn("x", F.pmod(F.xxhash64("set_id", F.lit("rest")), F.col("rests")).cast("int")).withColumn("y", F.explode(every))
+    right = arrays.join(rests, "component").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("y", F.col("own"))
+    both = left.select("component", "set_id", "shingles", "x", "y").unionByName(right.select("component", "set_id", "shingles", "x", "y"))
+    last = common.saved(products(both.withColumn("task", F.col("component")), percent), "links")
+    return forest.unionByName(found).unionByName(last)
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -302,7 +336,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     common.free(docs.sparkSession)
     groups = components(candidate_edges(docs, words, percent, seed))
     common.free(docs.sparkSession)
-    forest = common.saved(links(docs, sets.where("n_shingles > 0"), groups, words, percent, seed), "links")
+    forest = links(docs, sets.where("n_shingles > 0"), groups, words, percent, seed)
     common.free(docs.sparkSession)
     joined = components(forest)
     named = sets.join(joined, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_key"))
