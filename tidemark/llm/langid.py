@@ -35,6 +35,7 @@ from . import common
 ORDER = 4
 SAMPLE_DOCS = 2_000
 TAIL = 0.995
+BROADCAST_LANGUAGES = 10_000  # sizes of so many languages are sent to the rows, more are joined
 LEAST_LIMIT = 8.0  # no calibration makes it stricter: half a nat a character for long texts
 CACHE_WORDS = 200_000
 CHUNK = 500_000  # characters that are cut into words at a time
@@ -221,7 +222,10 @@ def learn(docs: DataFrame) -> Models:
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out())
     dice = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(4_000_000))
     share = F.floor(F.lit(SAMPLE_DOCS * 1_000_000) / F.col("_rows")) + 1  # one row a language on this side
-    picked = rows.join(rows.groupBy("lang").agg(F.count("*").alias("_rows")), "lang").withColumn("_dice", dice).where(F.col("_dice") % 1_000_000 < share)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_rows"))
+    if sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)
+    picked = rows.withColumn("_dice", dice).join(sizes, "lang").where(F.col("_dice") % 1_000_000 < share)
 
     def count(cols):
         by = defaultdict(Counter)
