@@ -36,9 +36,9 @@ from .components import components
 WORDS = 3
 PERCENT = 90
 SPARE = 2  # parts beyond k + 1
-BLOCK = 256  # classes of a block
+BLOCK = 1024  # classes of a block
 SMALL_ROWS = 400  # classes of small groups that share a task, about
-COLUMNS = 8192  # of a dense chunk of the product
+COLUMNS = 4096  # of a dense chunk of the product
 CACHE_WORDS = 300_000
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -319,12 +319,13 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
     clusters = components(found).withColumnRenamed("component", "cluster")
     placed = many.join(clusters, F.col("set_id") == F.col("node"), "left").select("component", "set_id", F.coalesce("cluster", "set_id").alias("cluster"))
     main = placed.groupBy("component", "cluster").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
-    rest = placed.join(main, "component").where("cluster <> main").select("component", "set_id")
-    rests = rest.groupBy("component").agg(blocks.alias("rests"))
-    left = arrays.join(rest, ["component", "set_id"]).join(rests, "component")
-    left = left.withColumn("x", F.pmod(F.xxhash64("set_id", F.lit("rest")), F.col("rests")).cast("int")).withColumn("y", F.explode(every))
-    right = arrays.join(rests, "component").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("y", F.col("own"))
-    both = left.select("component", "set_id", "shingles", "x", "y").unionByName(right.select("component", "set_id", "shingles", "x", "y"))
+    outside = placed.join(main, "component").select("component", "set_id", (F.col("cluster") != F.col("main")).alias("outside"))
+    rests = outside.where("outside").groupBy("component").agg(blocks.alias("rests"))
+    tagged = arrays.join(outside.join(rests, "component"), ["component", "set_id"])  # sets are dealt once
+    at = F.pmod(F.xxhash64("set_id", F.lit("rest")), F.col("rests")).cast("int")
+    as_any = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(x.alias("x"), F.col("own").alias("y")))
+    as_rest = F.when(F.col("outside"), F.transform(every, lambda y: F.struct(F.col("at").alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    both = tagged.withColumn("at", at).withColumn("_p", F.explode(F.array_union(as_any, as_rest))).select("component", "set_id", "shingles", "_p.x", "_p.y")
     last = common.saved(products(both.withColumn("task", F.col("component")), percent), "links")
     return forest.unionByName(found).unionByName(last)
 
