@@ -105,6 +105,40 @@ def test_signatures_meet_whenever_sets_link(percent):
                         assert any((k, x) in mine for k, sig in jaccard.signatures(b, percent) for x in sig.tolist())
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_bitmaps_rule_out_no_link(percent):
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 64, 65, 300, 1300):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.integers(0, n // 4 + 1) :], rng.integers(0, 2**63, rng.integers(0, n // 4 + 1), dtype=np.uint64)])) for _ in range(40)]
+        sizes, bits, half = np.array([len(s) for s in sets]), jaccard.folded([jaccard.parities(s) for s in sets]), np.arange(40) % 2
+        for left, right in ((np.arange(40), np.arange(40)), (np.flatnonzero(half), np.flatnonzero(1 - half))):
+            u = Union()
+            for a, b in jaccard.alike(sizes, bits, left, right, percent):
+                assert u.find(a) != u.find(b)
+                u.join(a, b)
+            for a in left:
+                for b in right:
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if 100 * both >= percent * (sizes[a] + sizes[b] - both):
+                        assert u.find(int(a)) == u.find(int(b))
+
+
+def test_unlike_texts_of_equal_parts_are_not_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(45))
+    texts = {i: shared + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(25)) for i in range(300)}
+    texts |= {300 + i: texts[i] + " more" for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    compared = []
+    linked = jaccard.products
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    monkeypatch.setattr(jaccard, "products", lambda dealt, percent: (compared.append(dealt.count()), linked(dealt, percent))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df, 5, 80).collect()}
+    assert got == jaccard_classes(texts, 5, 80)
+    assert sum(compared) <= 4 * 40
+
+
 def test_shingle_join_odd_rows(odd_docs, no_docs):
     df, rows = odd_docs
     want = jaccard_classes({r[0]: r[1] for r in rows}, 3, 90)

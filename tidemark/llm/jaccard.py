@@ -7,9 +7,13 @@ is not empty if either set has `spare` empty parts at most.  Every class gives a
 signature of each part that is not empty, in its size class and the next, for a
 number of spare parts that few sets exceed with empty ones, and then for twice as
 many until its own empty parts are no more; of two sets, the one that stops first
-is dealt alike by the other, so candidate search is exact.  Candidates are linked to the smallest class of their signature only, and
-what is connected so in one scheme (two size classes) is compared: members of a
-candidate group are cut into blocks of BLOCK, and a pair of blocks is a task that
+is dealt alike by the other, so candidate search is exact.  Candidates are linked to the smallest class of their signature only.
+What is connected so in one scheme (two size classes) grows with the table, so it
+is parted first: every class has a bitmap of the parities of its shingles' hash
+bits, and two bitmaps differ in no more bits than their sets in shingles.  Pairs
+whose bitmaps differ in more than a link allows cannot link; what the others
+connect is a group.  Members of a group are cut into blocks of BLOCK sets and
+BLOCK_SHINGLES shingles, about, and a pair of blocks is a task that
 multiplies its document-by-shingle matrices, sums overlaps chunk by chunk of
 columns, and keeps the pairs that reach the size-derived bound.  Pairs of classes
 that earlier tasks have connected are not compared.  A task gives out a spanning
@@ -36,8 +40,12 @@ from .components import components
 WORDS = 3
 PERCENT = 90
 SPARE = 2  # parts beyond k + 1
-BLOCK = 1024  # classes of a block
+BLOCK = 1024  # classes of a block at most, about
+BLOCK_SHINGLES = 500_000  # of a block, about, but for a larger set
 SMALL_ROWS = 400  # classes of small groups that share a task, about
+BITS_BLOCK = 4096  # classes of a block of bitmaps, about
+BITS_BYTES = 8 << 20  # of a block of bitmaps, about
+BITS_ROWS = 2000  # classes of small candidate groups that share a task, about
 COLUMNS = 4096  # of a dense chunk of the product
 CACHE_WORDS = 300_000
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -145,22 +153,34 @@ def set_ids(s: np.ndarray, seed: int) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """For each value of the hashes' low bits, whether the set has an odd number of them; one to two bits a shingle, 64 at least."""
+    width = 64 << max(0, (len(s) - 1) // 64).bit_length()
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, all brought to the width of the narrowest."""
+    width = min(map(len, bitmaps))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8), axis=0) for b in bitmaps])
+
+
 def classes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
-    """doc_id, n_shingles, set_id of every document, and the seed by which set ids are free of collisions."""
+    """doc_id, n_shingles, set_id, bits of every document, and the seed by which set ids are free of collisions."""
     seed = 0
     while True:
 
         def fn(cols, seed=seed):
             table = common.resident("words", WordHash)
-            out = {"doc_id": cols[0], "n_shingles": [], "set_id": [], "proof": []}
+            out = {"doc_id": cols[0], "n_shingles": [], "set_id": [], "proof": [], "bits": []}
             for text in cols[1]:
                 s = shingles(text, table, words)
                 i, proof = set_ids(s, seed)
-                for name, value in (("n_shingles", len(s)), ("set_id", i), ("proof", proof)):
+                for name, value in (("n_shingles", len(s)), ("set_id", i), ("proof", proof), ("bits", parities(s))):
                     out[name].append(value)
             return out
 
-        found = common.saved(common.map_rows(docs, fn, "doc_id long, n_shingles long, set_id long, proof long"), "sets")
+        found = common.saved(common.map_rows(docs, fn, "doc_id long, n_shingles long, set_id long, proof long, bits binary"), "sets")
         if found.groupBy("set_id").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high").isEmpty():
             return found.drop("proof"), seed
         seed += 1
@@ -242,14 +262,62 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
 
 
 def slots(sets: DataFrame, percent: int) -> DataFrame:
-    """node, set_id: the two slots of every class."""
+    """node, set_id, n, bits: the two slots of every class."""
 
     def fn(cols):
         own = np.array([class_of(n, percent)[0] for n in cols[1]], np.int64)
         ids = np.array(cols[0], np.int64)
-        return {"node": np.concatenate([slots_of(ids, own), slots_of(ids, own + 1)]), "set_id": np.concatenate([ids, ids])}
+        return {"node": np.concatenate([slots_of(ids, own), slots_of(ids, own + 1)]), "set_id": np.concatenate([ids, ids]), "n": cols[1] * 2, "bits": cols[2] * 2}
+
+    one = sets.select("set_id", "n_shingles", "bits").dropDuplicates(["set_id"])
+    return common.map_rows(one, fn, "node long, set_id long, n long, bits binary")
+
+
+def alike(sizes: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of left and right rows (rows of sizes and bits) whose bitmaps do not rule a link out."""
+    right = right[np.argsort(sizes[right], kind="stable")]
+    order, label, out = sizes[right], np.arange(len(sizes)), []
+    maps = np.ascontiguousarray(bits[right])
+    low = np.searchsorted(order, -(-sizes[left] * percent // 100))
+    high = np.searchsorted(order, sizes[left] * 100 // percent, "right")
+    for i, a, b in zip(left.tolist(), low.tolist(), high.tolist()):
+        differ = np.bitwise_count(maps[a:b] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = right[a:b][differ * (100 + percent) <= (order[a:b] + sizes[i]) * (100 - percent)]
+        near = near[label[near] != label[i]]
+        if len(near):
+            names, at = np.unique(label[near], return_index=True)
+            out += [(i, int(j)) for j in near[at]]
+            label[np.isin(label, names)] = label[i]
+    return out
+
 
-    return common.map_rows(sets.select("set_id", "n_shingles").distinct(), fn, "node long, set_id long")
+def parted(groups: DataFrame, slot: DataFrame, percent: int) -> DataFrame:
+    """node, component of what bitmaps leave connected in candidate groups (node, component), block pair by block pair."""
+    spark = groups.sparkSession
+    blocks = F.greatest(F.ceil(F.count("*") / BITS_BLOCK), F.ceil(F.sum(F.length("bits")) / BITS_BYTES)).cast("int")
+    placed = common.saved(groups.join(slot, "node").select("component", "node", "n", "bits"), "bitmaps")
+    tasks = max(1, placed.count() // BITS_ROWS)
+    cut = placed.join(placed.groupBy("component").agg(blocks.alias("blocks")), "component")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", F.lit("bits")), F.col("blocks")).cast("int"))
+    with_all = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("own", y).alias("x"), F.greatest("own", y).alias("y")))
+    task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    dealt = cut.withColumn("task", task).withColumn("_p", F.explode(with_all)).select("component", "node", "n", "bits", "own", "task", "_p.x", "_p.y")
+
+    def compare(group):
+        import pandas as pd
+
+        out = []
+        for _, part in group.groupby("component", sort=True):
+            own, nodes, sizes = part["own"].to_numpy(), part["node"].to_numpy(), part["n"].to_numpy()
+            left, right = np.flatnonzero(own == part["x"].iloc[0]), np.flatnonzero(own == part["y"].iloc[0])
+            if len(left) and len(right):
+                out += [(nodes[i], nodes[j]) for i, j in alike(sizes, folded(part["bits"].tolist()), left, right, percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    forest = common.saved(dealt.groupBy("task", "x", "y").applyInPandas(compare, "a long, b long"), "alike")
+    common.drop_saved(spark, placed)
+    common.free(spark)
+    return components(forest)
 
 
 def gathered(docs: DataFrame, sets: DataFrame, members: DataFrame, words: int, seed: int) -> DataFrame:
@@ -297,31 +365,34 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
     cluster are compared, with all.
     """
     spark = docs.sparkSession
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    sizes = groups.groupBy("component").agg(blocks.alias("blocks"))
-    members = common.saved(groups.join(sizes, "component").join(slots(sets, percent), "node").select("component", "blocks", "set_id"), "members")
-    tasks = max(1, groups.count() // SMALL_ROWS)
-    small = gathered(docs, sets, members.where("blocks = 1"), words, seed)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    slot = common.saved(slots(sets, percent).join(groups.select("node"), "node", "left_semi"), "slots")
+    placed = common.saved(parted(groups, slot, percent).join(slot, "node").select("component", "set_id", "n"), "placed")
+    common.drop_saved(spark, slot)
+    members = common.saved(placed.join(placed.groupBy("component").agg(blocks.alias("blocks")), "component"), "members")
+    rows, total = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, rows // SMALL_ROWS, total // BLOCK_SHINGLES)
+    arrays = common.saved(gathered(docs, sets, members, words, seed).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")), "arrays")
+    common.free(spark)
+    small = arrays.where("blocks = 1")
     small = small.withColumns({"task": F.pmod(F.xxhash64("component"), F.lit(tasks)), "x": F.lit(-1), "y": F.lit(-1)})
     forest = common.saved(products(small, percent), "links")
     common.free(spark)
     many = members.where("blocks > 1")
     if many.isEmpty():
         return forest
-    own = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")
-    arrays = common.saved(gathered(docs, sets, many, words, seed).withColumn("own", own), "arrays")
-    common.free(spark)
+    arrays = arrays.where("blocks > 1")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     others = F.when(F.col("own") == 0, F.when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).otherwise(F.array("own"))
     first = arrays.withColumn("y", F.explode(others)).withColumn("x", F.lit(0)).withColumn("task", F.col("component"))
     found = common.saved(products(first, percent), "links")
     common.free(spark)
     clusters = components(found).withColumnRenamed("component", "cluster")
-    placed = many.join(clusters, F.col("set_id") == F.col("node"), "left").select("component", "set_id", F.coalesce("cluster", "set_id").alias("cluster"))
+    placed = many.join(clusters, F.col("set_id") == F.col("node"), "left").select("component", "set_id", "n", F.coalesce("cluster", "set_id").alias("cluster"))
     main = placed.groupBy("component", "cluster").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
-    outside = placed.join(main, "component").select("component", "set_id", (F.col("cluster") != F.col("main")).alias("outside"))
+    outside = placed.join(main, "component").select("component", "set_id", "n", (F.col("cluster") != F.col("main")).alias("outside"))
     rests = outside.where("outside").groupBy("component").agg(blocks.alias("rests"))
-    tagged = arrays.join(outside.join(rests, "component"), ["component", "set_id"])  # sets are dealt once
+    tagged = arrays.join(outside.drop("n").join(rests, "component"), ["component", "set_id"])  # sets are dealt once
     at = F.pmod(F.xxhash64("set_id", F.lit("rest")), F.col("rests")).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(x.alias("x"), F.col("own").alias("y")))
     as_rest = F.when(F.col("outside"), F.transform(every, lambda y: F.struct(F.col("at").alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
