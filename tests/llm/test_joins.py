@@ -255,6 +255,36 @@ def test_paragraph_pairs_recall(spark, corpus):
     assert hit >= 0.9 * len(wanted)
 
 
+def test_signatures_of_many_sets_at_once():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 6, 9, 30, 31, 300, 5, 57, 1200)]
+    row, scheme, sig = jaccard.flat_signatures(np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+    for k, s in enumerate(sets):
+        want = sorted((c, x) for c, g in jaccard.signatures(s, 80) for x in g.tolist())
+        got = sorted((int(c), int(x)) for r, c, x in zip(row, scheme, sig) if r == k and jaccard.scheme_of(int(c), 80)[0])
+        assert got == want
+
+
+def test_no_paragraph_link_is_left_out(spark):
+    rng = random.Random(12)
+    pairs = []
+    for c in range(6000):
+        w = [f"p{c}x{k}".encode() for k in range(rng.randrange(20, 60))]
+        pairs.append((w, w[: len(w) - (len(w) - 4) // 5]))
+    bands = paragraphs.band_signatures([w for pair in pairs for w in pair], jaccard.WordHash()).reshape(len(pairs), 2, -1)
+    pairs = [pair for pair, (x, y) in zip(pairs, bands) if not (x == y).any()]
+    assert pairs  # that meet in no band
+    pairs.append(([b"a", b"b", b"c", b"d", b"e", b"f"] * 4, [b"a", b"b", b"c", b"d", b"e", b"f"] * 5))  # equal sets of other words
+    lines, texts = dict(enumerate(pairs)), []
+    for c, pair in lines.items():
+        texts += [(2 * c, b" ".join(pair[0]).decode()), (2 * c + 1, b" ".join(pair[1]).decode())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    wanted = {c for c, (x, y) in lines.items() if paragraphs.similar(x, y)}
+    assert len(wanted) == len(lines)
+    edges = paragraphs.repeated_lines(docs).select("doc_id").collect()
+    assert {r["doc_id"] for r in edges} == {d for c in wanted for d in (2 * c, 2 * c + 1)}
+
+
 def test_paragraphs_odd_rows(odd_docs):
     df, rows = odd_docs
     got = paragraphs.report(df).collect()

@@ -146,6 +146,32 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+def flat_signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, scheme, signature as by signatures(), of sets that stand in s one after the other.
+
+    Where only equal sets link, the whole set gives the signature: here they need not be one class.
+    """
+    _, ends = class_of(int(sizes.max()), percent)
+    own, begin = np.searchsorted(ends, sizes), np.cumsum(sizes) - sizes
+    found = []
+    for scheme in np.unique(np.concatenate([own, own + 1])).tolist():
+        rows = np.flatnonzero((own == scheme) | (own + 1 == scheme))
+        most, spare = scheme_of(scheme, percent)
+        while len(rows):
+            n, parts = sizes[rows], most + 1 + spare if most else 1
+            x = s[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            salt = mix(np.array([scheme + 1 + (spare << 32)], np.uint64))
+            key = np.repeat(np.arange(len(rows)) * parts, n) + (mix(x * _P3 + salt) % np.uint64(parts)).astype(np.int64)
+            full = np.bincount(key, minlength=len(rows) * parts) > 0
+            a, b = (np.bincount(key, half.astype(float), len(rows) * parts).astype(np.uint64) for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
+            sig = mix(mix(a * _P1 + np.tile(np.arange(parts, dtype=np.uint64), len(rows))) + b * _P2 + salt)
+            found.append((np.repeat(rows, parts)[full], np.full(full.sum(), scheme), sig[full]))
+            rows = rows[parts - full.reshape(-1, parts).sum(axis=1) > spare]
+            spare *= 2
+    row, schemes, sig = map(np.concatenate, zip(*found))
+    return row, schemes, sig
+
+
 def set_ids(s: np.ndarray, seed: int) -> tuple[int, int]:
     import xxhash
 
@@ -186,6 +212,27 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
         seed += 1
 
 
+def starred(sig: np.ndarray, own: np.ndarray) -> dict:
+    """sig, id: each signature of a batch once, with its smallest slot, and links within the batch as signatures of two rows."""
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    hub = own[np.flatnonzero(first)][np.cumsum(first) - 1]
+    more = (own != hub) & ~first
+    pairs = np.unique(np.stack([own[more], hub[more]], axis=1), axis=0)
+    made = mix(mix(pairs[:, 0].astype(np.uint64) * _P1) + pairs[:, 1].astype(np.uint64) * _P2)
+    sig = np.concatenate([sig[first], made, made])
+    own = np.concatenate([own[first], pairs[:, 0], pairs[:, 1]])
+    return {"sig": sig.view(np.int64), "id": own}
+
+
+def hub_edges(rows: DataFrame) -> DataFrame:
+    """a, b: the slots of rows (sig, id), joined to the smallest of each signature."""
+    hubs = rows.withColumn("hub", F.min("id").over(Window.partitionBy("sig"))).where("id <> hub")
+    return hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """a, b: slots joined to the smallest slot of a signature they share.
 
@@ -206,22 +253,10 @@ def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> Dat
         if not ids:
             return {"sig": [], "id": []}
         sig, own = np.concatenate(sigs), np.concatenate(ids)
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        hub = own[np.flatnonzero(first)][np.cumsum(first) - 1]
-        more = (own != hub) & ~first
-        # links within the batch, as signatures of two rows
-        pairs = np.unique(np.stack([own[more], hub[more]], axis=1), axis=0)
-        made = mix(mix(pairs[:, 0].astype(np.uint64) * _P1) + pairs[:, 1].astype(np.uint64) * _P2)
-        sig = np.concatenate([sig[first], made, made])
-        own = np.concatenate([own[first], pairs[:, 0], pairs[:, 1]])
-        return {"sig": sig.view(np.int64), "id": own}
+        return starred(sig, own)
 
     rows = common.map_rows(docs.select("text"), fn, "sig long, id long", 16 << 20)
-    hubs = rows.withColumn("hub", F.min("id").over(Window.partitionBy("sig"))).where("id <> hub")
-    return hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    return hub_edges(rows)
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -356,15 +391,17 @@ def products(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select("component", "set_id", "shingles", "task", "x", "y").groupBy("task", "x", "y").applyInPandas(product, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def links(sets: DataFrame, groups: DataFrame, percent: int, gather) -> DataFrame:
     """a, b: links that connect all linked classes of each candidate group, block pair by block pair.
 
+    gather(component, blocks, set_id of members) adds their sorted shingles.
+
     A group of one block is a task's.  In a larger one every block is first compared
     with block 0, which takes two copies of the group; classes that are connected so
     need no comparison among themselves, so then only those outside the group's main
     cluster are compared, with all.
     """
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     slot = common.saved(slots(sets, percent).join(groups.select("node"), "node", "left_semi"), "slots")
     placed = common.saved(parted(groups, slot, percent).join(slot, "node").select("component", "set_id", "n"), "placed")
@@ -372,7 +409,7 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int, perce
     members = common.saved(placed.join(placed.groupBy("component").agg(blocks.alias("blocks")), "component"), "members")
     rows, total = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = max(1, rows // SMALL_ROWS, total // BLOCK_SHINGLES)
-    arrays = common.saved(gathered(docs, sets, members, words, seed).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")), "arrays")
+    arrays = common.saved(gather(members).withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")), "arrays")
     common.free(spark)
     small = arrays.where("blocks = 1")
     small = small.withColumns({"task": F.pmod(F.xxhash64("component"), F.lit(tasks)), "x": F.lit(-1), "y": F.lit(-1)})
@@ -408,7 +445,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     common.free(docs.sparkSession)
     groups = components(candidate_edges(docs, words, percent, seed))
     common.free(docs.sparkSession)
-    forest = links(docs, sets.where("n_shingles > 0"), groups, words, percent, seed)
+    some = sets.where("n_shingles > 0")
+    forest = links(some, groups, percent, lambda members: gathered(docs, some, members, words, seed))
     common.free(docs.sparkSession)
     joined = components(forest)
     named = sets.join(joined, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_key"))

@@ -5,7 +5,9 @@ WORDS words or more get BANDS signatures of ROWS minima each over their shingles
 of WORDS words; at a Jaccard similarity of PERCENT / 100 = 0.8 a pair meets with
 probability 1 - (1 - 0.8^ROWS)^BANDS = 0.998.  In each band bucket a node is
 compared with the bucket's smallest node and its predecessor, on exact shingle
-sets; nodes linked so form components.  Of each component the first occurrence
+sets.  The links that bands and buckets leave out come from the exact candidate
+search of jaccard.py: signatures of parts, of which a linked pair shares one at
+least, bitmaps, and products block by block.  Nodes linked so form components.  Of each component the first occurrence
 (by doc_id, then line) stays.  The others are removed where a run of neighbouring
 repeated paragraphs has RUN_WORDS words or more, so short common lines stay.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .jaccard import WordHash, mix
+from .jaccard import WordHash, flat_signatures, hub_edges, links, mix, parities, slots_of, starred
 
 WORDS = 5
 PERCENT = 80
@@ -111,6 +113,95 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return common.map_rows(rows, fn, "doc_id long, copy long, line int, words int, node long")
 
 
+def distinct_sets(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles sorted and distinct within each line, one line after the other, and the lines' numbers of them."""
+    line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(s))))
+    order = np.lexsort((s, line))
+    s, line = s[order], line[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
+    return s[new], np.bincount(line[new], minlength=len(begin))
+
+
+def lots(texts: list[str], known: set[int]):
+    """ids and words of paragraphs of WORDS words or more that are not known yet, CHUNK words about at a time."""
+    ids, lines, size = [], [], 0
+    for text in texts:
+        for _, w in lines_of(text):
+            if len(w) >= WORDS and (i := node_id(w)) not in known:
+                known.add(i)
+                ids.append(i)
+                lines.append(w)
+                size += len(w)
+        if size >= CHUNK:
+            yield np.array(ids, np.int64), lines
+            ids, lines, size = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), lines
+
+
+def part_edges(docs: DataFrame) -> DataFrame:
+    """a, b: slots of nodes joined to the smallest slot of a signature they share; of two linked nodes some slots share one."""
+
+    def fn(cols):
+        table, sigs, own = WordHash(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for ids, lines in lots(cols[0], set()):
+            row, scheme, sig = flat_signatures(*distinct_sets(*shingle_sets(lines, table)), PERCENT)
+            sigs.append(sig)
+            own.append(slots_of(ids[row], scheme))
+        return starred(np.concatenate(sigs), np.concatenate(own))
+
+    return hub_edges(common.map_rows(docs.select("text"), fn, "sig long, id long"))
+
+
+def node_sets(docs: DataFrame) -> DataFrame:
+    """set_id (the node), n_shingles, bits of every node of WORDS words or more; nodes may repeat."""
+
+    def fn(cols):
+        table, out = WordHash(), {"set_id": [], "n_shingles": [], "bits": []}
+        for ids, lines in lots(cols[0], set()):
+            s, sizes = distinct_sets(*shingle_sets(lines, table))
+            out["set_id"] += ids.tolist()
+            out["n_shingles"] += sizes.tolist()
+            out["bits"] += [parities(x) for x in np.split(s, np.cumsum(sizes)[:-1])]
+        return out
+
+    return common.map_rows(docs.select("text"), fn, "set_id long, n_shingles long, bits binary")
+
+
+def bodies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, body (words with spaces) of the wanted nodes."""
+
+    def fn(cols):
+        out = {}
+        for text in cols[0]:
+            for line in text.split("\n"):
+                w = tokens(line)
+                if len(w) >= WORDS:
+                    out.setdefault(node_id(w), b" ".join(w))
+        return {"node": list(out), "body": list(out.values())}
+
+    return common.map_rows(docs.select("text"), fn, "node long, body binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+
+
+def rest(docs: DataFrame) -> DataFrame:
+    """a, b: links that connect all nodes that reach the threshold, whatever bands and buckets leave out."""
+    groups = components(part_edges(docs))
+    common.free(docs.sparkSession)
+
+    def gather(members):
+        def fn(cols):
+            table, out = WordHash(), []
+            for body in cols[1]:
+                out.append(distinct_sets(*shingle_sets([body.split(b" ")], table))[0].tobytes())
+            return {"set_id": cols[0], "shingles": out}
+
+        bodies = bodies_of(docs, members.select(F.col("set_id").alias("node")).distinct())
+        return members.join(common.map_rows(bodies, fn, "set_id long, shingles binary"), "set_id").select("component", "blocks", "set_id", "shingles")
+
+    return links(common.saved(node_sets(docs), "sets"), groups, PERCENT, gather)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """a, b: nodes that share a band signature, each with the bucket's smallest and its predecessor."""
 
@@ -161,17 +252,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The candidate pairs of exact similarity, a, b."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-    def fn(cols):
-        out = {}
-        for text in cols[0]:
-            for line in text.split("\n"):
-                w = tokens(line)
-                if len(w) >= WORDS:
-                    out.setdefault(node_id(w), b" ".join(w))
-        return {"node": list(out), "body": list(out.values())}
-
-    bodies = common.map_rows(docs.select("text"), fn, "node long, body binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    bodies = common.saved(bodies, "bodies")
+    bodies = common.saved(bodies_of(docs, wanted), "bodies")
     left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -284,7 +365,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, copy, lines array<struct<line, kept>>: paragraphs whose component occurs more than once."""
     seen = common.saved(occurrences(docs).distinct(), "paragraphs")
     pairs = common.saved(candidates(docs), "pairs")
-    linked = components(common.saved(verified(docs, pairs), "similar"))
+    similar = common.saved(verified(docs, pairs), "similar")
+    common.free(docs.sparkSession)
+    linked = components(similar.unionByName(common.saved(rest(docs), "rest")))
     keyed = seen.join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         "doc_id", "copy", "line", F.coalesce("component", "node").alias("key"))
     at = F.struct("doc_id", "copy", "line")
