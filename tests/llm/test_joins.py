@@ -105,6 +105,21 @@ def test_signatures_meet_whenever_sets_link(percent):
                         assert any((k, x) in mine for k, sig in jaccard.signatures(b, percent) for x in sig.tolist())
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_few_signatures_that_still_meet(percent):
+    """One more than the shingles that linked sets can differ in, for a third of the sets in two schemes; linked sets meet across class ends."""
+    rng = np.random.default_rng(4)
+    given = [sum(len(x) for _, x in jaccard.signatures(rng.integers(0, 2**63, n, dtype=np.uint64), percent)) / n for n in range(64, 1020, 3)]
+    assert np.mean(given) <= 1.5 * (100 - percent) / percent + 0.02
+    ends = [int(x) for x in jaccard.size_classes(percent, 600)]
+    for n in [e + d for e in ends for d in (-1, 0, 1) if e + d > 3]:
+        for _ in range(10):
+            b = np.unique(rng.integers(0, 2**63, n * 100 // percent, dtype=np.uint64))
+            a = rng.permutation(b)[:n]  # all that a lacks is in b
+            mine = {(k, x) for k, sig in jaccard.signatures(np.sort(a), percent) for x in sig.tolist()}
+            assert len(b) == n or any((k, x) in mine for k, sig in jaccard.signatures(b, percent) for x in sig.tolist())
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_bitmaps_rule_out_no_link(percent):
     rng = np.random.default_rng(5)

@@ -1,13 +1,12 @@
 """Exact n-gram Jaccard join: blocked sparse products of documents by shingles.
 
 Documents of equal shingle sets form a class.  Two sets that reach the threshold
-differ in at most k shingles, k by their size class; so if shingles are dealt to
-k + 1 + spare parts by hash, at least 1 + spare parts agree whole, and one of them
-is not empty if either set has `spare` empty parts at most.  Every class gives a
-signature of each part that is not empty, in its size class and the next, for a
-number of spare parts that few sets exceed with empty ones, and then for twice as
-many until its own empty parts are no more; of two sets, the one that stops first
-is dealt alike by the other, so candidate search is exact.  Candidates are linked to the smallest class of their signature only.
+differ in at most k shingles, k by their sizes; so if shingles are dealt to more
+than k parts by hash, all but k agree whole.  Size classes are a factor of two wide.
+A class gives signatures of its k + 1 largest parts in its size class, and in the
+next one if it can link there; if it has no more parts than k that are not empty, it
+gives these and goes on with more parts.  flat_signatures says why candidate search
+is exact.  Candidates are linked to the smallest class of their signature only.
 What is connected so in one scheme (two size classes) grows with the table, so it
 is parted first: every class has a bitmap of the parities of its shingles' hash
 bits, and two bitmaps differ in no more bits than their sets in shingles.  Pairs
@@ -39,13 +38,14 @@ from .components import components
 
 WORDS = 3
 PERCENT = 90
-SPARE = 2  # parts beyond k + 1
+SPARE = 2  # parts beyond k + 1, at least
 BLOCK = 1024  # classes of a block at most, about
 BLOCK_SHINGLES = 500_000  # of a block, about, but for a larger set
 SMALL_ROWS = 400  # classes of small groups that share a task, about
 BITS_BLOCK = 4096  # classes of a block of bitmaps, about
 BITS_BYTES = 8 << 20  # of a block of bitmaps, about
 BITS_ROWS = 2000  # classes of small candidate groups that share a task, about
+CHUNK = 250_000  # shingles that get their signatures at a time, but for a larger set
 COLUMNS = 4096  # of a dense chunk of the product
 CACHE_WORDS = 300_000
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -83,10 +83,10 @@ def shingles(text: str, table: WordHash, words: int) -> np.ndarray:
 
 
 def size_classes(percent: int, most: int) -> np.ndarray:
-    """Last size of each class, so that sizes that can link are in one class or the next."""
+    """Last size of each class, twice the first at least, so that sizes that can link are in one class or the next."""
     ends, low = [], 1
     while not ends or ends[-1] < most:
-        ends.append(low * 100 // percent)
+        ends.append(max(low * 100 // percent, 2 * low))
         low = ends[-1] + 1
     return np.array(ends)
 
@@ -102,71 +102,76 @@ def class_of(n: int, percent: int) -> tuple[int, np.ndarray]:
     return int(np.searchsorted(ends, n)), ends
 
 
+def differ(n, partner, percent: int):
+    """In how many shingles a set of n and a linked one of up to `partner` differ at most."""
+    return (n + partner) * (100 - percent) // (100 + percent)
+
+
 @functools.cache
 def scheme_of(scheme: int, percent: int) -> tuple[int, int]:
-    """In how many shingles linked sets of a scheme differ at most, and spare parts that few of its sets leave empty."""
+    """In how many shingles linked sets of a scheme differ at most, and spare parts, so that few of its sets have too few full ones."""
     _, ends = class_of(1, percent)
     while len(ends) <= scheme:
         _, ends = class_of(int(ends[-1]) + 1, percent)
-    most, least = 2 * int(ends[scheme]) * (100 - percent) // (100 + percent), int(ends[scheme - 2]) + 1 if scheme > 1 else 1
-    spare = SPARE
-    while most and spare < 2 * most + 16:  # mean and deviation of the empty parts of its smallest sets
-        parts = most + 1 + spare
-        none = math.exp(-least / parts)
-        if parts * none + 2 * math.sqrt(parts * none * (1 - (1 + least / parts) * none)) <= spare:
+    end = int(ends[scheme])
+    least = int(ends[scheme - 1] + 1) * percent // 100 if scheme else 1
+    most = differ(end, end, percent)
+    spare = SPARE + most // 8
+    while most and spare < 2 * most + 16:  # mean and deviation of the full parts of its largest and smallest sets
+        parts, enough = most + 1 + spare, True
+        for n in (least, end):
+            none = math.exp(-n / parts)
+            full = parts * (1 - none) - 2 * math.sqrt(parts * none * max(0, 1 - (1 + n / parts) * none))
+            enough &= full > differ(n, min(end, n * 100 // percent), percent)
+        if enough:
             break
         spare += 1 + spare // 8
     return most, spare
 
 
 def slots_of(set_id: np.ndarray, scheme: np.ndarray) -> np.ndarray:
-    """What stands for a class in a scheme: a class has two, so groups never span more than two size classes."""
+    """What stands for a class in a scheme: a class has two at most, so groups never span more than two size classes."""
     return mix(set_id.view(np.uint64) + scheme.astype(np.uint64) * _P3).view(np.int64)
 
 
 def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """Signatures of a set's parts in the schemes of its size class and the next."""
-    own, ends = class_of(len(s), percent)
-    out = []
-    lo, hi = (s & np.uint64(0xFFFFFFFF)).astype(float), (s >> np.uint64(32)).astype(float)
-    for scheme in (own, own + 1):
-        most, spare = scheme_of(scheme, percent)
-        while most:  # else only equal sets link, and they are one class
-            parts = most + 1 + spare
-            salt = mix(np.array([scheme + 1 + (spare << 32)], np.uint64))
-            part = (mix(s * _P3 + salt) % np.uint64(parts)).astype(np.int64)
-            full = np.bincount(part, minlength=parts) > 0
-            a = np.bincount(part, lo, parts).astype(np.uint64)
-            b = np.bincount(part, hi, parts).astype(np.uint64)
-            sig = mix(mix(a * _P1 + np.arange(parts, dtype=np.uint64)) + b * _P2 + salt)
-            out.append((scheme, sig[full]))
-            if parts - full.sum() <= spare:
-                break
-            spare *= 2
-    return out
+    """Signatures of a set's parts in each of its schemes, but for those where only equal sets link: they are one class."""
+    _, schemes, sig = flat_signatures(s, np.array([len(s)]), percent)
+    return [(k, sig[schemes == k]) for k in np.unique(schemes).tolist() if scheme_of(k, percent)[0]]
 
 
 def flat_signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, scheme, signature as by signatures(), of sets that stand in s one after the other.
-
-    Where only equal sets link, the whole set gives the signature: here they need not be one class.
+    """row, scheme, signature of sets that stand in s one after the other.
+
+    A set gives its largest parts in the scheme of its size class, and of the next
+    if sizes of that can link with it: one part more than it can differ in from a
+    linked set of the scheme, and all that are not empty if there are no more, and
+    then again with twice the spare parts.  Parts are ordered by size and number, so
+    parts that agree stand alike: of two sets, take that whose last part stands higher;
+    one of its parts agrees, and the other gives that too.  Where only equal sets
+    link, the whole set gives the signature.
     """
     _, ends = class_of(int(sizes.max()), percent)
-    own, begin = np.searchsorted(ends, sizes), np.cumsum(sizes) - sizes
+    own, begin, reach = np.searchsorted(ends, sizes), np.cumsum(sizes) - sizes, sizes * 100 // percent
     found = []
-    for scheme in np.unique(np.concatenate([own, own + 1])).tolist():
-        rows = np.flatnonzero((own == scheme) | (own + 1 == scheme))
+    for scheme in np.unique(np.concatenate([own, own[reach > ends[own]] + 1])).tolist():
+        rows = np.flatnonzero((own == scheme) | (own + 1 == scheme) & (reach > ends[own]))
+        need = differ(sizes, np.minimum(reach, ends[scheme]), percent) + 1
         most, spare = scheme_of(scheme, percent)
         while len(rows):
             n, parts = sizes[rows], most + 1 + spare if most else 1
             x = s[np.repeat(begin[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             salt = mix(np.array([scheme + 1 + (spare << 32)], np.uint64))
-            key = np.repeat(np.arange(len(rows)) * parts, n) + (mix(x * _P3 + salt) % np.uint64(parts)).astype(np.int64)
-            full = np.bincount(key, minlength=len(rows) * parts) > 0
-            a, b = (np.bincount(key, half.astype(float), len(rows) * parts).astype(np.uint64) for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
-            sig = mix(mix(a * _P1 + np.tile(np.arange(parts, dtype=np.uint64), len(rows))) + b * _P2 + salt)
-            found.append((np.repeat(rows, parts)[full], np.full(full.sum(), scheme), sig[full]))
-            rows = rows[parts - full.reshape(-1, parts).sum(axis=1) > spare]
+            part = ((mix(x * _P3 + salt) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            key = np.repeat(np.arange(len(rows)) * parts, n) + part
+            size = np.bincount(key, minlength=len(rows) * parts).reshape(-1, parts)
+            place = size * parts + np.arange(parts)
+            last = np.sort(place, axis=1)[np.arange(len(rows)), parts - need[rows]]
+            given = (size > 0) & (place >= last[:, None])
+            at, number = np.nonzero(given)
+            a, b = (np.bincount(key, half.astype(float), len(rows) * parts)[given.ravel()].astype(np.uint64) for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
+            found.append((rows[at], np.full(len(at), scheme), mix(mix(a * _P1 + number.astype(np.uint64)) + b * _P2 + salt)))
+            rows = rows[given.sum(axis=1) < need[rows]]
             spare *= 2
     row, schemes, sig = map(np.concatenate, zip(*found))
     return row, schemes, sig
@@ -241,19 +246,30 @@ def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> Dat
     """
 
     def fn(cols):
-        table, ids, sigs, known = common.resident("words", WordHash), [], [], set()
+        table, known, sigs, own = common.resident("words", WordHash), set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        ids, sets, size = [], [], 0
+
+        def flush():
+            if ids:
+                row, scheme, sig = flat_signatures(np.concatenate(sets), np.array([len(s) for s in sets]), percent)
+                some = np.isin(scheme, [k for k in np.unique(scheme).tolist() if scheme_of(k, percent)[0]])  # else only equal sets link, and they are one class
+                sigs.append(sig[some])
+                own.append(slots_of(np.array(ids, np.int64)[row[some]], scheme[some]))
+                ids.clear(), sets.clear()
+
         for text in cols[0]:
             s = shingles(text, table, words)
             i = set_ids(s, seed)[0]
             if len(s) and i not in known:
                 known.add(i)
-                for scheme, sig in signatures(s, percent):
-                    sigs.append(sig)
-                    ids.append(np.full(len(sig), slots_of(np.array([i]), np.array([scheme]))[0]))
-        if not ids:
-            return {"sig": [], "id": []}
-        sig, own = np.concatenate(sigs), np.concatenate(ids)
-        return starred(sig, own)
+                ids.append(i)
+                sets.append(s)
+                size += len(s)
+            if size >= CHUNK:
+                flush()
+                size = 0
+        flush()
+        return starred(np.concatenate(sigs), np.concatenate(own))
 
     rows = common.map_rows(docs.select("text"), fn, "sig long, id long", 16 << 20)
     return hub_edges(rows)
@@ -297,12 +313,15 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
 
 
 def slots(sets: DataFrame, percent: int) -> DataFrame:
-    """node, set_id, n, bits: the two slots of every class."""
+    """node, set_id, n, bits: the slots of every class, one or two."""
 
     def fn(cols):
-        own = np.array([class_of(n, percent)[0] for n in cols[1]], np.int64)
-        ids = np.array(cols[0], np.int64)
-        return {"node": np.concatenate([slots_of(ids, own), slots_of(ids, own + 1)]), "set_id": np.concatenate([ids, ids]), "n": cols[1] * 2, "bits": cols[2] * 2}
+        ids, sizes = np.array(cols[0], np.int64), np.array(cols[1], np.int64)
+        _, ends = class_of(int(sizes.max(initial=1)), percent)
+        own = np.searchsorted(ends, sizes)
+        again = np.flatnonzero(sizes * 100 // percent > ends[own])
+        rows = np.concatenate([np.arange(len(ids)), again]).tolist()
+        return {"node": np.concatenate([slots_of(ids, own), slots_of(ids[again], own[again] + 1)]), **{name: [col[k] for k in rows] for name, col in zip(("set_id", "n", "bits"), cols)}}
 
     one = sets.select("set_id", "n_shingles", "bits").dropDuplicates(["set_id"])
     return common.map_rows(one, fn, "node long, set_id long, n long, bits binary")
