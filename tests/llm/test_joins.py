@@ -300,6 +300,31 @@ def test_no_paragraph_link_is_left_out(spark):
     assert {r["doc_id"] for r in edges} == {d for c in wanted for d in (2 * c, 2 * c + 1)}
 
 
+def test_texts_are_cut_into_words_four_times_at_most(spark, monkeypatch):
+    from tidemark.llm import common
+
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, base), (2, base.replace("w7 ", "z ") + "\nlone line"), (3, None)], "doc_id long, text string")
+    plain, passes = common.map_rows, []
+    monkeypatch.setattr(common, "map_rows", lambda df, *args: (passes.append(df.columns), plain(df, *args))[1])
+    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.report(docs).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert sum("text" in columns for columns in passes) <= 4, passes
+
+
+def test_words_in_arrays_are_those_of_lines():
+    texts = ["", "A b\n\n c\x0bd \r\n \n" + "x" * 70 + " É\u3000日本 \udc80 e", " \t", "one\ntwo three", "x" * 70 + "\n" + "x" * 71, "c D"]
+    p = paragraphs.Parsed(texts)
+    want = [(n, k, w) for n, x in enumerate(texts) for k, w in paragraphs.lines_of(x)]
+    assert [(n, k) for n, k, _ in want] == list(zip(p.text.tolist(), p.line.tolist()))
+    assert [b" ".join(w) for *_, w in want] == [p.body(k) for k in range(len(want))]
+    assert [paragraphs.node_id(w) for *_, w in want] == p.nodes().tolist()
+    words = [x for *_, w in want for x in w]
+    assert len(set(zip(words, p.hash.tolist()))) == len(set(words)) == len(set(p.hash.tolist()))
+    ids, schemes = np.array([5, -7, 2**62, -(2**63)]), np.array([0, 3, 9, 40])
+    assert jaccard.sets_of(jaccard.slots_of(ids, schemes), schemes).tolist() == ids.tolist()
+
+
 def test_paragraphs_odd_rows(odd_docs):
     df, rows = odd_docs
     got = paragraphs.report(df).collect()

@@ -48,6 +48,7 @@ BITS_ROWS = 2000  # classes of small candidate groups that share a task, about
 CHUNK = 250_000  # shingles that get their signatures at a time, but for a larger set
 COLUMNS = 4096  # of a dense chunk of the product
 CACHE_WORDS = 300_000
+TAG = np.uint64(63)
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -134,6 +135,15 @@ def slots_of(set_id: np.ndarray, scheme: np.ndarray) -> np.ndarray:
     return mix(set_id.view(np.uint64) + scheme.astype(np.uint64) * _P3).view(np.int64)
 
 
+def sets_of(slot: np.ndarray, scheme: np.ndarray) -> np.ndarray:
+    """The set ids of slots of known schemes: slots_of the other way round."""
+    h = slot.view(np.uint64)
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9)):
+        h = (h ^ (h >> np.uint64(shift)) ^ (h >> np.uint64(2 * shift))) * np.uint64(pow(factor, -1, 1 << 64))
+    h = h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+    return (h - scheme.astype(np.uint64) * _P3).view(np.int64)
+
+
 def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     """Signatures of a set's parts in each of its schemes, but for those where only equal sets link: they are one class."""
     _, schemes, sig = flat_signatures(s, np.array([len(s)]), percent)
@@ -149,7 +159,7 @@ def flat_signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     then again with twice the spare parts.  Parts are ordered by size and number, so
     parts that agree stand alike: of two sets, take that whose last part stands higher;
     one of its parts agrees, and the other gives that too.  Where only equal sets
-    link, the whole set gives the signature.
+    link, the whole set gives the signature.  A signature's low bits (TAG) are its scheme.
     """
     _, ends = class_of(int(sizes.max()), percent)
     own, begin, reach = np.searchsorted(ends, sizes), np.cumsum(sizes) - sizes, sizes * 100 // percent
@@ -170,7 +180,8 @@ def flat_signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
             given = (size > 0) & (place >= last[:, None])
             at, number = np.nonzero(given)
             a, b = (np.bincount(key, half.astype(float), len(rows) * parts)[given.ravel()].astype(np.uint64) for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
-            found.append((rows[at], np.full(len(at), scheme), mix(mix(a * _P1 + number.astype(np.uint64)) + b * _P2 + salt)))
+            sig = mix(mix(a * _P1 + number.astype(np.uint64)) + b * _P2 + salt)
+            found.append((rows[at], np.full(len(at), scheme), sig & ~TAG | np.uint64(scheme)))
             rows = rows[given.sum(axis=1) < need[rows]]
             spare *= 2
     row, schemes, sig = map(np.concatenate, zip(*found))
@@ -217,25 +228,49 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def starred(sig: np.ndarray, own: np.ndarray) -> dict:
-    """sig, id: each signature of a batch once, with its smallest slot, and links within the batch as signatures of two rows."""
+def starred(sig: np.ndarray, own: np.ndarray, before: bool = False) -> dict:
+    """sig, id: each signature of a batch once, with its smallest id, and links within the batch as signatures of two rows.
+
+    Links are those to the smallest and, if asked for, to the predecessor.
+    """
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     hub = own[np.flatnonzero(first)][np.cumsum(first) - 1]
-    more = (own != hub) & ~first
-    pairs = np.unique(np.stack([own[more], hub[more]], axis=1), axis=0)
-    made = mix(mix(pairs[:, 0].astype(np.uint64) * _P1) + pairs[:, 1].astype(np.uint64) * _P2)
+    at = np.flatnonzero(~first)
+    pairs = [np.stack([own[at], other, (sig[at] & TAG).view(np.int64)], axis=1) for other in ((hub[at], own[at - 1]) if before else (hub[at],))]
+    pairs = np.concatenate(pairs)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    made = mix(mix(pairs[:, 0].astype(np.uint64) * _P1) + pairs[:, 1].astype(np.uint64) * _P2) & ~TAG | pairs[:, 2].astype(np.uint64)
     sig = np.concatenate([sig[first], made, made])
     own = np.concatenate([own[first], pairs[:, 0], pairs[:, 1]])
     return {"sig": sig.view(np.int64), "id": own}
 
 
-def hub_edges(rows: DataFrame) -> DataFrame:
-    """a, b: the slots of rows (sig, id), joined to the smallest of each signature."""
-    hubs = rows.withColumn("hub", F.min("id").over(Window.partitionBy("sig"))).where("id <> hub")
-    return hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+def hub_edges(rows: DataFrame, before: int = -1) -> DataFrame:
+    """a, b, scheme: the ids of rows (sig, id), joined to the smallest of each signature; in the scheme `before` also to the predecessor."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, hub, prior = None, 0, 0  # of the row before
+        for batch in batches:
+            sig, own = (c.to_numpy() for c in batch.columns)
+            if not len(sig):
+                continue
+            first = np.ones(len(sig), bool)
+            first[1:], first[0] = sig[1:] != sig[:-1], last is None or sig[0] != last
+            hubs = np.concatenate([[hub], own[first]])[np.cumsum(first)]
+            priors = np.concatenate([[prior], own[:-1]])
+            last, hub, prior = sig[-1], hubs[-1], own[-1]
+            at = np.flatnonzero(~first & (own != hubs))
+            more = at[((sig[at] & 63) == before) & (priors[at] != hubs[at]) & (priors[at] != own[at])]
+            both = np.concatenate([at, more])
+            out = own[both], np.concatenate([hubs[at], priors[more]]), (sig[both] & 63)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "scheme"])
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long, scheme long").distinct()
 
 
 def candidate_edges(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
