@@ -165,6 +165,46 @@ def test_shingle_join_odd_rows(odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, (_, c) in want.items() if i == c})
 
 
+def shuffled(spark):
+    """Bytes that this session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_a_partner_are_not_moved(spark):
+    rng = random.Random(11)
+    texts = {i: " ".join(f"{rng.getrandbits(400):0100x}" for _ in range(100)) for i in range(200)}
+    texts |= {200 + i: texts[i] + " more" for i in range(8)} | {208: texts[9]}
+    rows = [*texts.items(), (210, "some words that stand twice here"), (210, "some words that stand twice here"), (None, texts[3]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = jaccard.common.saved(df, "texts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        began = shuffled(spark)
+        got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df, 5, 80).collect())
+        moved = shuffled(spark) - began
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(i, texts[i]) for i in range(200)] + [rows[-3], *rows[-2:]]
+    assert got == Counter(want)
+    assert moved < sum(map(len, texts.values())) / 2, moved
+
+
+def test_marked_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x") for i in [*range(-500, 500), None]], "doc_id int, _bits string").repartition(3)
+    ids = jaccard.common.saved(df.where("doc_id % 50 = 0").selectExpr("cast(doc_id as long) as i"), "ids")
+    few = jaccard.common.marked(df, "doc_id", ids, "m")
+    assert few.columns == ["doc_id", "_bits", "m"] and few.count() == 1001
+    found = {r["doc_id"] for r in few.where("m").collect()}
+    assert found >= set(range(-500, 500, 50)) and len(found) < 120
+    assert jaccard.common.marked(df, "doc_id", ids.limit(0), "m").where("m").isEmpty()
+    monkeypatch.setattr(jaccard.common, "MARK_WORDS", 1)
+    assert {r["doc_id"] for r in jaccard.common.marked(df, "doc_id", ids, "m").where("m").collect()} >= set(range(-500, 500, 50))
+
+
 def test_one_doc_id_with_several_texts(spark):
     base = " ".join(f"q{k}" for k in range(60))
     near = base.replace("q59", "z")

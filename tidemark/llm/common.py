@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SLICE_BYTES = 4 << 20  # of an Arrow batch that a function gets at a time, but for a larger row
+MARK_WORDS = 1 << 18  # 64-bit words that stand for ids, at most
 _scopes: list[list[str]] = []  # the driver's open scopes, each with the scratch paths made in it
 _held: dict = {}  # a worker's state: one entry
 
@@ -140,6 +141,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def marked(df: DataFrame, column: str, ids: DataFrame, mark: str) -> DataFrame:
+    """df with a boolean column: true where the number in a column is one of the ids (a saved table's only column), and for few others.
+
+    So rows that surely have no partner need not be moved to be joined.  What is sent
+    is a bit for each id's hash, of 32 an id about but 64 * MARK_WORDS at most; with
+    more than some million ids more others are marked, in the end all.
+    """
+    words = max(1, min(MARK_WORDS, ids.count() // 2))
+    word, bits = unused(df, "_word"), unused(df, "_bits")
+
+    def place(value):
+        return F.pmod(F.xxhash64(value.cast("long"), F.lit("mark")), F.lit(64 * words))
+
+    def bit(value):  # shiftleft takes no column of shifts
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(value), F.lit(64)).cast("int"))
+
+    own, value = F.col(ids.columns[0]), df[column]
+    table = ids.select(F.shiftright(place(own), 6).alias(word), bit(own).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    both = df.join(F.broadcast(table), F.shiftright(place(value), 6) == F.col(word), "left")
+    return both.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(bit(value)) != 0, F.lit(False))).drop(word, bits)
+
+
 def map_rows(df: DataFrame, fn, schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """fn(list of column lists) -> dict of lists, for each slice of `size` bytes about of each Arrow batch."""
     from pyspark.sql.types import _parse_datatype_string

@@ -413,9 +413,9 @@ def gathered(docs: DataFrame, sets: DataFrame, members: DataFrame, words: int, s
     """component, blocks, set_id, shingles of members (component, blocks, set_id), made from one document of each class."""
     least = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     by_set = members.groupBy("set_id").agg(F.collect_list(F.struct("component", "blocks")).alias("groups"))  # two at most
-    stands = least.join(by_set, "set_id").select("doc_id", "set_id", "groups")
+    stands = common.saved(least.join(by_set, "set_id").select("doc_id", "set_id", "groups"), "stands")
     # doc_id may repeat with other texts: the set id is checked again
-    texts = docs.join(stands, "doc_id")
+    texts = common.marked(docs, "doc_id", stands.select("doc_id"), "_mark").where("_mark").join(stands, "doc_id")
 
     def gather(cols):
         table, out = common.resident("words", WordHash), {"set_id": [], "groups": [], "shingles": []}
@@ -511,11 +511,17 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that name their component, all columns kept whatever their names; of rows equal in doc_id and text one stays.
 
-    Rows without a doc_id name nothing and all stay.
+    Rows without a doc_id name nothing and all stay.  Only rows whose doc_id goes, or
+    stands on several rows, are moved to be joined, and few others.
     """
-    found = join_components(docs.where("doc_id is not null"), words, percent).where("doc_id = component_id")
-    names = common.saved(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "names")
-    out = docs.join(names.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    odd, mark = common.unused(docs, "_odd"), common.unused(docs, "_mark")
+    found = join_components(docs.where("doc_id is not null"), words, percent)
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    names = common.saved(counts.where("rows > 1 or not stays").withColumnRenamed("doc_id", odd), "names")
+    marked = common.marked(docs, "doc_id", names.select(odd), mark)
+    to_join = F.col(mark) & F.col("doc_id").isNotNull()
+    kept, moved = marked.where(~to_join).drop(mark), marked.where(to_join).drop(mark)
+    moved = moved.join(names.where("not stays"), F.col("doc_id") == F.col(odd), "left_anti")
     if not names.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.where("doc_id is null"))
+        moved = moved.dropDuplicates(["doc_id", "text"])
+    return kept.union(moved)
