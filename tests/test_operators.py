@@ -203,3 +203,20 @@ def test_workload_report_and_reader_scaling(spark, tmp_path):
     assert all(row[c] > 0 for c in ("total_ops_per_second", "read_latency_us_p99", "write_latency_us_p99", "bloom_checks", "database_size_bytes"))
     table = workload.reader_scaling(s, ["00000000000000000001", "absent"], 4, (1, 2))
     assert [(r["readers"], r["reads"]) for r in table.collect()] == [(1, 4), (2, 4)] and table.where("p99_us < p50_us").isEmpty()
+
+
+def test_lookup_in_all_generations_moves_no_product(spark, monkeypatch):
+    """Against a loop, in one slice and many; in the plan the rows of keys times generations come last, behind the sort."""
+    rng = random.Random(9)
+    rows = [(g, b, k) for g in (1, 2, 5) for b, k in enumerate(sorted(rng.sample([f"k{n:03d}" for n in range(300)], 20)))] + [(None, 0, "k000"), (7, 0, None)]
+    index = spark.createDataFrame(rows, "generation long, block long, first_key string")
+    asked = [f"k{n:03d}" for n in range(0, 320, 3)] + ["a", "z", "k1", None]
+    keys = spark.createDataFrame([(k,) for k in asked], "key string").repartition(5)
+    want = {(g, k): max([b for x, b, f in rows if x == g and g is not None and k is not None and f is not None and f <= k], default=-1) for g in (1, 2, 5, 7, None) for k in asked}
+    assert {(r["generation"], r["key"]): r["block"] for r in layout.find_block(index, keys).collect()} == want
+    sliced(monkeypatch)
+    found = layout.find_block(index, keys)
+    got = found.collect()
+    assert len(got) == len(want) and {(r["generation"], r["key"]): r["block"] for r in got} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "MapInArrow" in plan[0] and "Sort" in plan[1]

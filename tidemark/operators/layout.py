@@ -10,6 +10,8 @@ from . import ranges
 #: Fixed sizes of the interchange format: record header, table header, index entry, checksum.
 RECORD_HEADER, TABLE_HEADER, INDEX_ENTRY, CHECKSUM = 20, 40, 12, 4
 SLICE_BLOCKS = 1 << 20  # blocks of a slice
+#: Lookups of keys in all generations: bytes of an index entry or key, of which a slice has SLICE_BYTES; rows from which a further slice is worth a task; rows given at once.
+ROW_BYTES, SPREAD_ROWS, OUT_ROWS = 128, 1000, 1 << 15
 
 
 def record_bytes() -> Column:
@@ -133,17 +135,15 @@ def extents(index: DataFrame, start: Column | int) -> DataFrame:
 def find_block(index: DataFrame, keys: DataFrame) -> DataFrame:
     """generation, key, block: the last block whose first key is not above the key, -1 before the first.
 
-    An as-of lookup by one sort within slices of the key order: index entries and
-    keys are merged, and the last entry's block is carried forward; into a slice
-    comes the last block of the slices before.
+    Keys with a generation are looked up by one sort within slices of the key order:
+    index entries and keys are merged, and the last entry's block is carried forward;
+    into a slice comes the last block of the slices before.  Keys without one are asked
+    of every generation, see `_find_in_all`.
     """
+    if "generation" not in keys.columns:
+        return _find_in_all(index, keys)
     entries = index.select("generation", F.col("first_key").alias("key"), "block", F.lit(0).alias("_probe"))
-    if "generation" in keys.columns:
-        probes = keys
-    else:  # every generation is asked; compaction keeps them few
-        generations = [r["generation"] for r in index.select("generation").distinct().orderBy("generation").collect()]
-        probes = keys.select("key", F.explode(F.array(*map(F.lit, generations))).alias("generation")) if generations else keys.select("key", F.lit(0).alias("generation")).limit(0)
-    both = entries.unionByName(probes.select("generation", "key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("_probe")))
+    both = entries.unionByName(keys.select("generation", "key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("_probe")))
     cuts = ranges.bounds(both.select("key"), "key")
     both = both.withColumn("_slice", ranges.slice_of(both, "key", cuts))
     order = Window.partitionBy("generation", "_slice").orderBy("key", "_probe").rowsBetween(Window.unboundedPreceding, 0)
@@ -156,6 +156,95 @@ def find_block(index: DataFrame, keys: DataFrame) -> DataFrame:
     return found.where("_probe = 1").select("generation", "key", F.coalesce("block", F.lit(-1)).cast("long").alias("block"))
 
 
+def _find_in_all(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each key in each generation.
+
+    That product is the result; it is neither sorted nor moved.  A slice of the key
+    order gets the block each generation comes into it with, then its index entries,
+    then its keys, each once; the rows are made from these as a stream.
+    """
+    entries = index.select("generation", F.col("first_key").alias("key"), "block")
+    both = entries.select("key").unionByName(keys.select("key"))
+    n = both.count()
+    slice_rows = ranges.SLICE_BYTES // ROW_BYTES
+    spread = min(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // SPREAD_ROWS + 1)
+    slices = min(ranges.SLICES, max(spread, n // slice_rows + 1))
+    cuts = ranges.cuts_at(both, "key", slices, n)
+    last = len(cuts)
+
+    placed = entries.withColumn("_slice", ranges.slice_of(entries, "key", cuts))
+    known = F.col("generation").isNotNull() & F.col("key").isNotNull()
+    by = Window.partitionBy("generation").orderBy("_slice")
+    tops = placed.groupBy("generation", "_slice").agg(F.max(F.when(known, F.col("block"))).alias("block")).withColumns(
+        {"_first": F.row_number().over(by) == 1, "_until": F.coalesce(F.lead("_slice").over(by), F.lit(last))})
+    nothing = F.transform(F.when(F.col("_first"), F.sequence(F.lit(0), F.col("_slice"))).otherwise(F.array().cast("array<int>")), lambda s: F.struct(s.alias("s"), F.lit(None).cast("long").alias("b")))
+    later = F.transform(F.when(F.col("_slice") < F.col("_until"), F.sequence(F.col("_slice") + 1, F.col("_until"))).otherwise(F.array().cast("array<int>")), lambda s: F.struct(s.alias("s"), F.col("block").cast("long").alias("b")))
+    carried = tops.select("generation", F.explode(F.concat(nothing, later)).alias("_c")).select(
+        F.col("_c.s").alias("_slice"), F.lit(0).alias("_kind"), "generation", F.lit(None).cast("string").alias("key"), F.col("_c.b").alias("block"))
+    kind = index.schema["generation"].dataType.simpleString()
+    rows = carried.unionByName(placed.where(known).select("_slice", F.lit(1).alias("_kind"), "generation", "key", F.col("block").cast("long").alias("block"))).unionByName(
+        keys.select(ranges.slice_of(keys, "key", cuts).alias("_slice"), F.lit(2).alias("_kind"), F.lit(None).cast(kind).alias("generation"), "key", F.lit(None).cast("long").alias("block")))
+    dealt = rows.repartition(last + 1, "_slice") if cuts else rows.coalesce(1)
+    return dealt.sortWithinPartitions("_slice", "_kind", "key").mapInArrow(_in_all, f"generation {kind}, key string, block long")
+
+
+def _in_all(batches):
+    """Rows by slice: generations with the block carried in (kind 0), index entries (1) and keys (2) in key order."""
+    from bisect import bisect_left
+
+    import numpy as np
+    import pyarrow as pa
+
+    at = None
+    for b in batches:
+        parts, kinds = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_slice", "_kind"))
+        edges = [0, *(np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi == lo:
+                continue
+            if parts[lo] != at:
+                at, generations, now, entries, done = parts[lo], [], [], [], 0
+            run = b.slice(lo, hi - lo)
+            if kinds[lo] == 0:
+                generations += run.column("generation").to_pylist()
+                now += [-1 if x is None else x for x in run.column("block").to_pylist()]
+                place = None
+            elif kinds[lo] == 1:
+                place = place or {g: k for k, g in enumerate(generations)}
+                entries += zip(run.column("key").to_pylist(), map(place.get, run.column("generation").to_pylist()), run.column("block").to_pylist())
+            elif generations:
+                if isinstance(now, list):
+                    now, gens = np.array(now, np.int64), pa.array(generations, run.column("generation").type)
+                keys = run.column("key")
+                texts, n = keys.to_pylist(), len(keys)
+                nulls = keys.null_count  # first; no entry is at or below them
+                own = []
+                if texts[-1] is not None:
+                    until = done
+                    while until < len(entries) and entries[until][0] <= texts[-1]:
+                        until += 1
+                    own, done = entries[done:until], until
+                which = np.array([g for _, g, _ in own], np.int64)
+                first = np.array([bisect_left(texts, k, nulls) for k, _, _ in own], np.int64)
+                block = np.array([x for _, _, x in own], np.int64)
+                order = np.argsort(which, kind="stable")
+                which, first, block = which[order], first[order], block[order]
+                begin = np.where(nulls == n, -1, now) if nulls else now
+                step = max(1, OUT_ROWS // n)
+                index = np.tile(np.arange(n), min(step, len(generations)))
+                tiled = keys.take(pa.array(index))
+                for g in range(0, len(generations), step):
+                    m = min(step, len(generations) - g)
+                    a, z = np.searchsorted(which, [g, g + m])
+                    starts = np.concatenate([np.arange(m) * n, (which[a:z] - g) * n + first[a:z]])
+                    sort = np.argsort(starts, kind="stable")
+                    blocks = np.concatenate([begin[g : g + m], block[a:z]])[sort].repeat(np.diff(starts[sort], append=m * n))
+                    if nulls and nulls < n:
+                        blocks.reshape(m, n)[:, :nulls] = -1
+                    yield pa.RecordBatch.from_arrays([gens.slice(g, m).take(pa.array(np.arange(m).repeat(n))), tiled.slice(0, m * n), pa.array(blocks)], names=["generation", "key", "block"])
+                now[which] = block  # in key order within a generation, so the last one stays
+
+
 def overlapping(index: DataFrame, begin: str, end: str) -> DataFrame:
     """The blocks that may hold keys of [begin, end); an empty end is open.  Block numbers have no gaps, so the next one is joined by number."""
     after = index.select("generation", (F.col("block") - 1).alias("block"), F.col("first_key").alias("_next"))

@@ -28,8 +28,13 @@ def bounds(df: DataFrame, column: str) -> list:
     size = estimated_bytes(df)
     if size <= SLICE_BYTES:
         return []
-    slices = min(SLICES, size // SLICE_BYTES + 1)
-    n = df.count()
+    return cuts_at(df, column, min(SLICES, size // SLICE_BYTES + 1), df.count())
+
+
+def cuts_at(df: DataFrame, column: str, slices: int, n: int) -> list:
+    """Values at which a column's order is cut into so many slices about, for a frame of n rows."""
+    if slices < 2:
+        return []
     share = min(1.0, SAMPLE * slices / max(1, n))
     picked = df.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(1_000_000)) <= int(share * 1_000_000)))
     rows = picked.groupBy(column).count().orderBy(column).collect()

@@ -322,7 +322,7 @@ def sparse_index(spark, sf_dir):
   left join idx i on i.generation = g.generation and i.first_key <= a.key group by 1, 2""", MUT + BLOCKS)
 def find_block(spark, sf_dir):
     keys = read(spark, sf_dir, "supplier").select(F.concat(F.lit("user:"), F.lpad((F.col("s_suppkey") * 7).cast("string"), 8, "0")).alias("key"))
-    return layout.find_block(layout.sparse_index(blocks(spark, sf_dir)), keys)
+    return layout.find_block(layout.sparse_index(blocks(spark, sf_dir)), keys.distinct())
 
 
 @query(f"""select generation, block, first_key, entries, bytes from (select *, lead(first_key) over (partition by generation order by block) as nxt from idx)
