@@ -220,3 +220,39 @@ def test_lookup_in_all_generations_moves_no_product(spark, monkeypatch):
     assert len(got) == len(want) and {(r["generation"], r["key"]): r["block"] for r in got} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "MapInArrow" in plan[0] and "Sort" in plan[1]
+
+
+def filtered():
+    """Entries of generations of unlike and of like sizes, a null among keys and generations; and what each filter says of each key."""
+    rows = [(g, f"k{k}") for g in range(1, 12) for k in range(0, 300, g)] + [(g, f"k{k}") for g in range(20, 40) for k in range(g, 300, 10)] + [(3, None), (None, "k1"), (5, "k5")]
+    want = {}
+    keys = {k for _, k in rows}
+    for g in {g for g, _ in rows}:
+        own = {k for x, k in rows if x == g}
+        bits, real = bloom.bits_for(len(own), 10), [k for k in own if k is not None and g is not None]
+        on = set(bloom.positions([k.encode() for k in real], bits, 6).ravel().tolist())
+        for k in keys:
+            want[g, k] = k is not None and on.issuperset(bloom.positions([k.encode()], bits, 6).ravel().tolist()), k in real
+    return rows, want
+
+
+def test_filters_in_pieces_and_passes_are_the_same(spark, monkeypatch):
+    rows, want = filtered()
+    entries = spark.createDataFrame(rows, "generation long, key string").repartition(3)
+    for sent in (1 << 20, 400, 200):  # one pass, several, and filters that are too large to be sent
+        monkeypatch.setattr(bloom, "BROADCAST_BYTES", sent)
+        parts = bloom.filter_bytes(entries, 10)
+        got = bloom.membership_held(entries, parts).collect()
+        assert len(got) == len(want) and {(r["generation"], r["key"]): (r["maybe"], r["held"]) for r in got} == want
+        for name, value in (("PIECE_BITS", 512), ("KEYS_AT_ONCE", 7), ("PAIRS_AT_ONCE", 50), ("OUT_ROWS", 16)):
+            monkeypatch.setattr(bloom, name, value)
+
+
+def test_keys_times_generations_are_not_moved(spark, tmp_path):
+    """Nothing comes after the rows of bloom_membership are made."""
+    from tidemark import queries
+
+    events = [(n, n % 40, "error" if n % 5 == 0 else "view", "{}") for n in range(0, 50_000, 50)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    plan = queries.bloom_membership(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "MapInArrow" in plan[0]

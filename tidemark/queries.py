@@ -390,10 +390,8 @@ member as (select f.*, p.key is not null as held from found f left join perg p o
 @query("select generation, key, maybe, held from member", MUT + HASHES)
 def bloom_membership(spark, sf_dir):
     """Every key against every generation's filter; a key a generation holds is never denied."""
-    entries = per_generation(spark, sf_dir)
-    found = bloom.membership(entries.select("key").distinct(), bloom.filter_bytes(entries, BITS))
-    held = entries.select("generation", "key", F.lit(True).alias("held"))
-    return found.join(held, ["generation", "key"], "left").fillna(False, ["held"])
+    entries = mut(spark, sf_dir).select("generation", "key")
+    return bloom.membership_held(entries, bloom.filter_bytes(entries, BITS))
 
 
 @query("select generation, count(*) as checks, count(*) filter (not maybe) as negatives, count(*) filter (maybe and not held) as false_positives from member group by 1", MUT + HASHES)
