@@ -239,20 +239,25 @@ def filtered():
 def test_filters_in_pieces_and_passes_are_the_same(spark, monkeypatch):
     rows, want = filtered()
     entries = spark.createDataFrame(rows, "generation long, key string").repartition(3)
+    counts = {g: (len({k for _, k in want}), sum(m for (x, _), (m, _) in want.items() if x == g)) for g, _ in want}
     for sent in (1 << 20, 400, 200):  # one pass, several, and filters that are too large to be sent
         monkeypatch.setattr(bloom, "BROADCAST_BYTES", sent)
         parts = bloom.filter_bytes(entries, 10)
         got = bloom.membership_held(entries, parts).collect()
         assert len(got) == len(want) and {(r["generation"], r["key"]): (r["maybe"], r["held"]) for r in got} == want
+        assert {r["generation"]: (r["checks"], r["maybe"]) for r in bloom.passed(entries.select("key").distinct(), parts).collect()} == counts
         for name, value in (("PIECE_BITS", 512), ("KEYS_AT_ONCE", 7), ("PAIRS_AT_ONCE", 50), ("OUT_ROWS", 16)):
             monkeypatch.setattr(bloom, name, value)
 
 
 def test_keys_times_generations_are_not_moved(spark, tmp_path):
-    """Nothing comes after the rows of bloom_membership are made."""
+    """Nothing comes after the rows of bloom_membership are made; bloom_stats counts the same."""
     from tidemark import queries
 
     events = [(n, n % 40, "error" if n % 5 == 0 else "view", "{}") for n in range(0, 50_000, 50)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     plan = queries.bloom_membership(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "MapInArrow" in plan[0]
+    stats = queries.bloom_stats(spark, str(tmp_path))
+    member = queries.bloom_membership(spark, str(tmp_path)).groupBy("generation").agg(F.count("*"), F.count_if(~F.col("maybe")), F.count_if(F.col("maybe") & ~F.col("held")))
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, member.collect()))

@@ -397,8 +397,10 @@ def bloom_membership(spark, sf_dir):
 @query("select generation, count(*) as checks, count(*) filter (not maybe) as negatives, count(*) filter (maybe and not held) as false_positives from member group by 1", MUT + HASHES)
 def bloom_stats(spark, sf_dir):
     """Checks, negatives and false positives of each generation's filter over the keys of all."""
-    return bloom_membership(spark, sf_dir).groupBy("generation").agg(
-        F.count("*").alias("checks"), F.count_if(~F.col("maybe")).alias("negatives"), F.count_if(F.col("maybe") & ~F.col("held")).alias("false_positives"))
+    entries = mut(spark, sf_dir).select("generation", "key").distinct()
+    asked = bloom.passed(entries.select("key").distinct(), bloom.filter_bytes(entries, BITS))
+    held = entries.where("key is not null").groupBy("generation").agg(F.count("*").alias("_held"))  # all of them pass
+    return asked.join(held, "generation", "left").select("generation", "checks", (F.col("checks") - F.col("maybe")).alias("negatives"), (F.col("maybe") - F.coalesce("_held", F.lit(0))).alias("false_positives"))
 
 
 @query("""select key, sequence, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(key || '=' || value) + 1), lambda i: ord((key || '=' || value)[i])::ubigint)),
